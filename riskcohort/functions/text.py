@@ -50,8 +50,8 @@ def percent(p: Column, digits: int) -> Column:
 
 def with_unit(c: Column, unit: str, digits: int | None = None) -> Column:
     """Value followed by its unit, or the fixed "not provided" text."""
-    shown = c.cast("string") if digits is None else F.format_number(c, f"0.{'0' * digits}")
-    return F.coalesce(F.concat(shown, F.lit(unit)), F.lit(K.NOT_PROVIDED))
+    shown = c.cast("string") if digits is None else F.format_string(f"%.{digits}f", c)
+    return F.when(c.isNotNull(), F.concat(shown, F.lit(unit))).otherwise(K.NOT_PROVIDED)
 
 
 def or_not_provided(c: Column) -> Column:

@@ -74,6 +74,7 @@ def future_risk(df: DataFrame, scorer: Scorer = scorecard, risk=future_risk_scor
         F.when(~F.col("stage3_eligible"), "eligibility.high"),
         rules.evidence_error(age, bmi, hba1c, glucose),
     ))
+    out = submissions.evaluated_once(out)
     ok = F.col("error_code").isNull()
     out = out.withColumn("risk_probability", F.when(ok, risk(age, bmi, mgdl_to_mmoll(glucose))))
     sparse, band = rules.is_sparse(age, bmi, glucose), rules.risk_band(F.col("risk_probability"))

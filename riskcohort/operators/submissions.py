@@ -30,6 +30,7 @@ FUTURE_FIELDS = {
     "hba1c": ("hba1c_pct", "hba1c"),
     "glucose": ("fasting_glucose_mgdl", "fasting_glucose"),
 }
+NUMERIC_FIELDS = ("age", "bmi", "race_ethnicity", "hba1c", "glucose")
 IDENTITY_FIELDS = {
     "patient_name": ("patient_name", "Patient Name"),
     "patient_address": ("patient_address",),
@@ -55,19 +56,42 @@ def resolve(body: Column, names: tuple[str, ...]) -> Column:
     return out
 
 
+def evaluated_once(df: DataFrame) -> DataFrame:
+    """The same rows, with every column computed at this point.
+
+    A filter on a derived column is otherwise pushed below each projection with its whole
+    expression copied in. A one-element ``inline`` keeps later filters above the parsing.
+    """
+    row = F.struct(*[F.col(c) for c in df.columns])
+    return df.select(F.inline(F.array(row)))
+
+
 def read_fields(df: DataFrame, fields: dict[str, tuple[str, ...]], body: str = "_body") -> DataFrame:
-    """Add ``<field>_kind`` and ``<field>_text`` for each field of the parsed body."""
-    df = df.withColumns({f"_{f}": resolve(F.col(body), names) for f, names in fields.items()})
-    df = df.withColumns({f"{f}_kind": F.schema_of_variant(F.col(f"_{f}")) for f in fields})
-    # A whole number written with a decimal point keeps it: "-1.0" is not the token "-1".
-    df = df.withColumns({
-        f"{f}_text": F.when(
-            F.col(f"{f}_kind").rlike(r"^DECIMAL\(([0-9]|1[0-8]),0\)$"),
-            F.concat(F.col(f"_{f}").cast("string"), F.lit(".0")),
-        ).otherwise(F.col(f"_{f}").cast("string"))
-        for f in fields
-    })
-    return df.drop(*[f"_{f}" for f in fields])
+    """Replace the parsed body by ``<field>_text`` (trimmed, NULL when there is nothing),
+    ``<field>_bool`` and, for numeric fields, ``<field>_num``."""
+    keep = [c for c in df.columns if c not in (body, "body")]
+    out = df.select(
+        *keep, is_object(F.col(body)).alias("_object"),
+        *[resolve(F.col(body), names).alias(f"_{f}") for f, names in fields.items()],
+    )
+    out = out.withColumns({f"_{f}_kind": F.schema_of_variant(F.col(f"_{f}")) for f in fields})
+
+    def shown(f: str) -> Column:
+        # A whole number written with a decimal point keeps it: "-1.0" is not the token "-1".
+        plain = F.col(f"_{f}").cast("string")
+        pointed = F.col(f"_{f}_kind").rlike(r"^DECIMAL\(([0-9]|1[0-8]),0\)$")
+        return F.nullif(text.trimmed(F.when(pointed, F.concat(plain, F.lit(".0"))).otherwise(plain)), F.lit(""))
+
+    out = out.select(
+        *keep, "_object",
+        *[shown(f).alias(f"{f}_text") for f in fields],
+        *[is_true(F.col(f"_{f}_kind") == "BOOLEAN").alias(f"{f}_bool") for f in fields],
+    )
+    numbers = {
+        f"{f}_num": F.when(~F.col(f"{f}_bool"), text.to_number(F.col(f"{f}_text")))
+        for f in fields if f in NUMERIC_FIELDS
+    }
+    return evaluated_once(out.withColumns(numbers))
 
 
 @dataclass(frozen=True)
@@ -80,25 +104,17 @@ class Field:
     def text(self) -> Column:
         return F.col(f"{self.name}_text")
 
-    @property
-    def token(self) -> Column:
-        return text.token(self.text)
-
-    @property
-    def is_bool(self) -> Column:
-        return is_true(F.col(f"{self.name}_kind") == "BOOLEAN")
-
     @property
     def number(self) -> Column:
-        return F.when(~self.is_bool, text.to_number(self.text))
+        return F.col(f"{self.name}_num")
 
     @property
     def empty(self) -> Column:
         """Absent key, JSON null or blank text."""
-        return self.text.isNull() | (text.trimmed(self.text) == "")
+        return self.text.isNull()
 
     def among(self, tokens: tuple[str, ...]) -> Column:
-        return is_true(self.token.isin(*tokens))
+        return is_true(F.lower(self.text).isin(*tokens))
 
     def missing(self, nulls: tuple[str, ...] = ()) -> Column:
         gone = self.empty | self.among(nulls) if nulls else self.empty
@@ -110,11 +126,10 @@ class Field:
         bad = (n <= 0) | (n == float("inf"))
         if upper is not None:
             bad = bad | (n > upper)
-        return (
-            F.when(self.is_bool | is_true(text.is_non_finite_text(self.text)), f"{self.name}.range")
-            .when(n.isNull(), f"{self.name}.type")
-            .when(bad, f"{self.name}.range")
-        )
+        no_number = F.when(
+            F.col(f"{self.name}_bool") | is_true(text.is_non_finite_text(self.text)), f"{self.name}.range"
+        ).otherwise(f"{self.name}.type")
+        return F.when(n.isNull(), no_number).when(bad, f"{self.name}.range")
 
     def not_among(self, *groups: tuple[str, ...]) -> Column:
         tokens = tuple(t for g in groups for t in g)
@@ -164,7 +179,7 @@ def _lab_absent(field: Field) -> Column:
 
 def _lab_absent_exact(field: Field) -> Column:
     """Null words compared with case, after trimming."""
-    return field.empty | is_true(text.trimmed(field.text).isin(*K.LAB_NULL_TOKENS))
+    return field.empty | is_true(field.text.isin(*K.LAB_NULL_TOKENS))
 
 
 def screening_error() -> Column:
@@ -233,15 +248,13 @@ def _validated(df: DataFrame, fields: dict, error: Column, labs: bool) -> DataFr
     identity = [c for c in df.columns if c != "body"]
     parsed = df.withColumn("_body", parse_body(F.col("body")))
     parsed = read_fields(parsed, {**fields, **IDENTITY_FIELDS})
-    parsed = parsed.withColumn(
-        "error_code", F.when(~is_object(F.col("_body")), "body.object").otherwise(error)
-    )
+    parsed = parsed.withColumn("error_code", F.when(~F.col("_object"), "body.object").otherwise(error))
     passed = F.col("error_code").isNull()
-    typed = {n: F.when(passed, c).alias(n) for n, c in typed_columns(labs).items()}
+    typed = [F.when(passed, c).alias(n) for n, c in typed_columns(labs).items()]
     person = F.struct(*[
-        text.or_not_provided(F.col(f"{n}_text")).alias(n) for n in IDENTITY_FIELDS
+        F.coalesce(F.col(f"{n}_text"), F.lit(K.NOT_PROVIDED)).alias(n) for n in IDENTITY_FIELDS
     ]).alias("person")
-    return parsed.select(*identity, "error_code", *typed.values(), person)
+    return evaluated_once(parsed.select(*identity, "error_code", *typed, person))
 
 
 def validate_screening(df: DataFrame) -> DataFrame:
