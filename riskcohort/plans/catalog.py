@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riskcohort.plans import assessment_queries, cohort_queries  # noqa: F401
+from riskcohort.plans import assessment_queries, cohort_queries, metric_queries  # noqa: F401
 from riskcohort.plans import registry
 
 
