@@ -129,7 +129,7 @@ def by_score(df: DataFrame, keys: Keys = (), y: str = "y", score: str = "score",
 
 
 def ranking_metrics(df: DataFrame, keys: Keys = (), y: str = "y", score: str = "score", w: str = "w",
-                    ranges: int = ordered.RANGES) -> DataFrame:
+                    rows_per_range: int = ordered.ROWS_PER_RANGE) -> DataFrame:
     """Weighted ROC AUC (ties count half) and step-form average precision, exact.
 
     Both are NULL for a group with a single outcome class.
@@ -138,7 +138,8 @@ def ranking_metrics(df: DataFrame, keys: Keys = (), y: str = "y", score: str = "
     # Adding 0.0 turns a negative zero into zero: both are one score.
     clean = df.withColumn(score, c(score) + F.lit(0.0))
     curve = ordered.running(
-        by_score(clean, keys, y, score, w), score, {"p": c("wp"), "n": c("wn")}, keys=keys, ranges=ranges
+        by_score(clean, keys, y, score, w), score, {"p": c("wp"), "n": c("wn")}, keys=keys,
+        rows_per_range=rows_per_range,
     )
     tp = c("p_total") - c("p_before")            # positives at or above this score
     fp = c("n_total") - c("n_before")
@@ -154,14 +155,39 @@ def ranking_metrics(df: DataFrame, keys: Keys = (), y: str = "y", score: str = "
 
 
 def risk_metrics(df: DataFrame, keys: Keys = (), y: str = "y", score: str = "score", w: str = "w") -> DataFrame:
-    """The full weighted metric row per group."""
-    means = weighted_means(df, keys, y, score, w)
-    ranks = ranking_metrics(df, keys, y, score, w)
-    if keys:
-        return means.join(ranks, list(keys))
-    # Without keys both sides are a single aggregate row; a constant key pairs them.
-    one = F.lit(1).alias("_one")
-    return means.select("*", one).join(ranks.select("*", one), "_one").drop("_one")
+    """The full weighted metric row per group, from one reduction to distinct scores."""
+    c = F.col
+    rows = df.groupBy(*keys, (c(score) + F.lit(0.0)).alias("score")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(y).alias("cases"),
+        F.sum(c(w) * c(y)).alias("wp"), F.sum(c(w) * (1 - c(y))).alias("wn"),
+    )
+    return _curve_metrics(rows, keys, ordered.ROWS_PER_RANGE)
+
+
+def _curve_metrics(rows: DataFrame, keys: Keys, rows_per_range: int) -> DataFrame:
+    """Metric row per group from ``(keys, score, n, cases, wp, wn)``."""
+    c = F.col
+    curve = ordered.running(
+        rows, "score", {"p": c("wp"), "m": c("wn")}, keys=keys, rows_per_range=rows_per_range
+    )
+    tp, fp = c("p_total") - c("p_before"), c("m_total") - c("m_before")
+    w_all = F.sum(c("wp") + c("wn"))
+    s = c("score")
+    return curve.groupBy(*keys).agg(
+        F.sum("n").alias("n_evaluable"),
+        F.sum("cases").cast("long").alias("cases"),
+        F.try_divide(F.sum("wp"), w_all).alias("observed_risk"),
+        F.try_divide(F.sum((c("wp") + c("wn")) * s), w_all).alias("mean_predicted_risk"),
+        F.try_divide(
+            F.sum(c("wp") * (c("m_before") + c("wn") / 2.0)), F.sum("wp") * F.sum("wn")
+        ).alias("auc"),
+        F.try_divide(
+            F.sum(c("wp") * F.coalesce(F.try_divide(tp, tp + fp), F.lit(0.0))), F.sum("wp")
+        ).alias("average_precision"),
+        F.try_divide(
+            F.sum(c("wp") * (s - 1.0) * (s - 1.0) + c("wn") * s * s), w_all
+        ).alias("brier"),
+    )
 
 
 def risk_groups(age: Column, male: Column, bmi: Column, fpg: Column) -> Column:
@@ -185,7 +211,8 @@ def risk_groups(age: Column, male: Column, bmi: Column, fpg: Column) -> Column:
     return F.array_compact(F.array(*[F.when(cond, name) for cond, name in named]))
 
 
-def subgroup_metrics(df: DataFrame, y: str = "y", score: str = "score", w: str = "w") -> DataFrame:
+def subgroup_metrics(df: DataFrame, y: str = "y", score: str = "score", w: str = "w",
+                     rows_per_range: int = ordered.ROWS_PER_RANGE) -> DataFrame:
     """A metric row for all thirteen subgroups.
 
     Rows are first reduced to (set of groups, score, outcome, weight) so that membership in up
@@ -205,25 +232,7 @@ def subgroup_metrics(df: DataFrame, y: str = "y", score: str = "score", w: str =
         .groupBy("group", "score")
         .agg(*[F.sum(x).alias(x) for x in ("n", "cases", "wp", "wn")])
     )
-    curve = ordered.running(rows, "score", {"p": c("wp"), "m": c("wn")}, keys=("group",))
-    tp, fp = c("p_total") - c("p_before"), c("m_total") - c("m_before")
-    w_all = F.sum(c("wp") + c("wn"))
-    s = c("score")
-    return curve.groupBy("group").agg(
-        F.sum("n").alias("n_evaluable"),
-        F.sum("cases").cast("long").alias("cases"),
-        F.try_divide(F.sum("wp"), w_all).alias("observed_risk"),
-        F.try_divide(F.sum((c("wp") + c("wn")) * s), w_all).alias("mean_predicted_risk"),
-        F.try_divide(
-            F.sum(c("wp") * (c("m_before") + c("wn") / 2.0)), F.sum("wp") * F.sum("wn")
-        ).alias("auc"),
-        F.try_divide(
-            F.sum(c("wp") * F.coalesce(F.try_divide(tp, tp + fp), F.lit(0.0))), F.sum("wp")
-        ).alias("average_precision"),
-        F.try_divide(
-            F.sum(c("wp") * (s - 1.0) * (s - 1.0) + c("wn") * s * s), w_all
-        ).alias("brier"),
-    )
+    return _curve_metrics(rows, ("group",), rows_per_range)
 
 
 def one_vs_rest_auc(df: DataFrame, keys: Keys = ()) -> DataFrame:

@@ -4,6 +4,10 @@ The order is cut into ranges at approximate quantiles. Each range is totalled, t
 totals are accumulated, and a window inside each range adds the rest. Results are exact: the
 quantiles only decide where the cuts fall. Callers aggregate to distinct order values first,
 so one value held by a third of all rows is a single row here and ranges stay balanced.
+
+Inputs are read several times (size, cuts, totals, window), so their lineage is cut first: the
+work above is done once and survives lost executors. Tables of up to ``ROWS_PER_RANGE`` rows
+need no cuts and are ordered by one bounded window per key.
 """
 
 from __future__ import annotations
@@ -12,19 +16,25 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-RANGES = 128
+from riskcohort.session import cut_lineage
+
+ROWS_PER_RANGE = 1_000_000
+MAX_RANGES = 1024
 
 
-def with_range(df: DataFrame, order: str, edges_from: DataFrame | None = None,
-               ranges: int = RANGES, name: str = "_range") -> DataFrame:
-    """Add the number of the quantile range that ``order`` falls into."""
-    source = df if edges_from is None else edges_from
+def with_range(df: DataFrame, order: str, rows_per_range: int = ROWS_PER_RANGE) -> tuple[DataFrame, int]:
+    """``df`` with the number of the quantile range of ``order``, and how many ranges there are."""
+    n = df.count()
+    ranges = max(1, min(MAX_RANGES, -(-n // rows_per_range)))
+    if ranges == 1:
+        return df.withColumn("_range", F.lit(0)), 1
     marks = [i / ranges for i in range(1, ranges)]
-    edges = source.agg(F.percentile_approx(order, marks, ranges * 100).alias("edges"))
-    cut = df.withColumn("_edges", edges.scalar())
-    # The number of edges below the value; an empty table has no edges and a single range.
+    edges = df.agg(F.percentile_approx(order, marks, max(10_000, ranges * 100)).alias("_edges"))
+    # The edges are one row of at most MAX_RANGES numbers.
+    one = F.lit(1).alias("_one")
+    cut = df.select("*", one).join(F.broadcast(edges.select("_edges", one)), "_one")
     below = F.filter("_edges", lambda e: e < F.col(order))
-    return cut.withColumn(name, F.coalesce(F.size(below), F.lit(0))).drop("_edges")
+    return cut.withColumn("_range", F.size(below)).drop("_one", "_edges"), ranges
 
 
 def _before(keys: list, order: str) -> W:
@@ -33,7 +43,7 @@ def _before(keys: list, order: str) -> W:
 
 def running(df: DataFrame, order: str, sums: Mapping[str, Column] | None = None,
             products: Mapping[str, Column] | None = None, keys: tuple[str, ...] = (),
-            ranges: int = RANGES) -> DataFrame:
+            rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """Add, per name, ``<name>_before`` (strictly earlier rows) and ``<name>_total`` (all rows).
 
     ``order`` must be unique within ``keys``. ``keys`` name a bounded set of groups: the range
@@ -47,10 +57,16 @@ def running(df: DataFrame, order: str, sums: Mapping[str, Column] | None = None,
     def combine(n: str, a: Column, b: Column) -> Column:
         return a + b if n in sums else a * b
 
-    ranged = with_range(
-        df.withColumns({f"_v_{n}": v.cast("double") for n, v in values.items()}), order, ranges=ranges
-    )
+    stored = cut_lineage(df.withColumns({f"_v_{n}": v.cast("double") for n, v in values.items()}))
+    ranged, ranges = with_range(stored, order, rows_per_range)
     group = [*keys, "_range"]
+    if ranges == 1:
+        whole = W.partitionBy(*keys)
+        out = ranged
+        for n in values:
+            before = F.coalesce(total[n](f"_v_{n}").over(_before(list(keys), order)), start[n])
+            out = out.withColumns({f"{n}_before": before, f"{n}_total": total[n](f"_v_{n}").over(whole)})
+        return out.drop("_range", *[f"_v_{n}" for n in values])
     per_range = ranged.groupBy(*group).agg(*[total[n](f"_v_{n}").alias(f"_t_{n}") for n in values])
     earlier, every = _before(list(keys), "_range"), W.partitionBy(*keys)
     offsets = per_range.select(
@@ -70,7 +86,7 @@ def running(df: DataFrame, order: str, sums: Mapping[str, Column] | None = None,
 
 
 def as_of(queries: DataFrame, at: str, steps: DataFrame, step_at: str, value: str,
-          default: float, ranges: int = RANGES) -> DataFrame:
+          default: float, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """Value of the last step strictly before each distinct query point, else ``default``.
 
     Returns ``(at, value)`` with one row per distinct query point.
@@ -81,9 +97,12 @@ def as_of(queries: DataFrame, at: str, steps: DataFrame, step_at: str, value: st
                      F.col(value).cast("double").alias("_s"))
         .unionByName(points.select("_p", F.lit(0).alias("_step"), F.lit(None).cast("double").alias("_s")))
     )
-    ranged = with_range(merged, "_p", ranges=ranges)
+    ranged, ranges = with_range(cut_lineage(merged), "_p", rows_per_range)
     # At equal points the query sorts first, so that only earlier steps are seen.
     inside = W.partitionBy("_range").orderBy("_p", "_step").rowsBetween(W.unboundedPreceding, W.currentRow)
+    if ranges == 1:
+        found = ranged.withColumn("_s", F.last("_s", ignorenulls=True).over(inside)).filter("_step = 0")
+        return found.select(F.col("_p").alias(at), F.coalesce("_s", F.lit(default)).alias(value))
     carried = ranged.groupBy("_range").agg(F.max_by("_s", F.when(F.col("_step") == 1, F.col("_p"))).alias("_last"))
     offsets = carried.select(
         "_range", F.last("_last", ignorenulls=True).over(_before([], "_range")).alias("_carry")

@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from riskcohort import constants as K
+from riskcohort.session import cut_lineage
 
 PREFIX_DIGITS = 4
 
@@ -27,7 +28,10 @@ def _cut_points(hashed: DataFrame, cuts: Callable[[DataFrame], DataFrame], label
     ``cuts`` maps ``(label, n)`` totals to ``(label, cut, rank)``; rank 0 has no last row.
     """
     prefix = F.substring("_hash", 1, digits)
-    histogram = hashed.groupBy(label, prefix.alias("_prefix")).agg(F.count(F.lit(1)).alias("_n"))
+    # Small and read three times: stored, so that the rows are scanned for it once.
+    histogram = cut_lineage(
+        hashed.groupBy(label, prefix.alias("_prefix")).agg(F.count(F.lit(1)).alias("_n"))
+    )
     wanted = cuts(histogram.groupBy(label).agg(F.sum("_n").alias("n"))).filter("rank > 0")
     # At most 16^digits rows per label: fixed, whatever the table size.
     up_to = W.partitionBy(label).orderBy("_prefix").rowsBetween(W.unboundedPreceding, W.currentRow)

@@ -21,7 +21,7 @@ def horizon_labels(df: DataFrame, time: str = "time_years", event: str = "event"
 
 
 def censoring_curve(df: DataFrame, time: str = "time_years", event: str = "event",
-                    ranges: int = ordered.RANGES) -> DataFrame:
+                    rows_per_range: int = ordered.ROWS_PER_RANGE) -> DataFrame:
     """Product-limit survival of the censoring time: one row per distinct censor time.
 
     Rows collapse to distinct times before anything is ordered.
@@ -30,12 +30,12 @@ def censoring_curve(df: DataFrame, time: str = "time_years", event: str = "event
     per_time = df.groupBy(c(time).cast("double").alias("t")).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(c(event) == 0).alias("censored")
     )
-    risk = ordered.running(per_time, "t", {"n": c("n")}, ranges=ranges)
+    risk = ordered.running(per_time, "t", {"n": c("n")}, rows_per_range=rows_per_range)
     steps = risk.filter("censored > 0").select(
         "t", "censored", (c("n_total") - c("n_before")).cast("long").alias("at_risk")
     )
     steps = steps.withColumn("_f", 1.0 - c("censored") / c("at_risk"))
-    out = ordered.running(steps, "t", products={"s": c("_f")}, ranges=ranges)
+    out = ordered.running(steps, "t", products={"s": c("_f")}, rows_per_range=rows_per_range)
     return out.select("t", "censored", "at_risk", (c("s_before") * c("_f")).alias("survival"))
 
 

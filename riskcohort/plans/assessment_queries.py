@@ -9,7 +9,7 @@ from riskcohort.functions import recode, rules, text
 from riskcohort.operators import assessment, replay, split, submissions
 from riskcohort.operators.scoring import scorecard, scored_export, model_features
 from riskcohort.plans import fixtures
-from riskcohort.plans.cohort_queries import dataset
+from riskcohort.plans.cohort_queries import dataset, stored_dataset
 from riskcohort.plans.registry import EXTRA, query, rounded
 
 # --- SQL pieces ------------------------------------------------------------------------------
@@ -454,7 +454,7 @@ EXTRA["masks"] = (
 ))
 def policy_replay(spark, sf_dir):
     f = fixtures.fixture
-    held_out = split.stratified_holdout(dataset(spark, sf_dir)).filter("is_test")
+    held_out = split.stratified_holdout(stored_dataset(spark, sf_dir)).filter("is_test")
     labs = replay.labs_outer_join(f(spark, sf_dir, "ghb"), f(spark, sf_dir, "glu"))
     return replay.policy_replay(replay.replay_masks(replay.with_labs(scorecard(held_out), labs)))
 

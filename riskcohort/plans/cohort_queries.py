@@ -10,6 +10,7 @@ from riskcohort.operators import cohort as co, profile, split
 from riskcohort.plans import fixtures
 from riskcohort.plans.registry import query, rounded
 from riskcohort.operators.replay import labs_outer_join, one_to_one_violations
+from riskcohort.session import cut_lineage
 from riskcohort.sources.tables import eligible_followup, landing_audit
 
 
@@ -21,6 +22,11 @@ def dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return co.supervised_dataset(cohort(spark, sf_dir))
 
 
+def stored_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dataset as a written table: splits and models read it several times."""
+    return cut_lineage(dataset(spark, sf_dir))
+
+
 def binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = fixtures.fixture
     return co.binary_dataset(f(spark, sf_dir, "demo"), f(spark, sf_dir, "bmx"), f(spark, sf_dir, "diq_history"))
@@ -229,7 +235,7 @@ def _fill(c: str) -> str:
 @query("fill_values", " union all ".join(_fill(c) for c in K.PREDICTORS))
 def fill_values(spark, sf_dir):
     """Learned on the training part only."""
-    train = split.stratified_holdout(dataset(spark, sf_dir)).filter("not is_test")
+    train = split.stratified_holdout(stored_dataset(spark, sf_dir)).filter("not is_test")
     return rounded(profile.fill_values(train))
 
 

@@ -9,7 +9,7 @@ from riskcohort.operators import experiments as ex, metrics as m, ordered, recor
 from riskcohort.operators.scoring import future_risk_score, linear_scorer, reduced_scorecard, scorecard
 from riskcohort.operators import scoring
 from riskcohort.plans import fixtures
-from riskcohort.plans.cohort_queries import dataset
+from riskcohort.plans.cohort_queries import dataset, stored_dataset
 from riskcohort.plans.registry import EXTRA, query, rounded
 from riskcohort.functions import text
 from riskcohort.sources.sinks import metric_report
@@ -24,9 +24,7 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def model_rows(spark: SparkSession, sf_dir: str, folds: bool = False) -> DataFrame:
     """One row per person and model."""
-    people = dataset(spark, sf_dir)
-    if folds:
-        people = split.fold_assignment(people)
+    people = split.fold_assignment(stored_dataset(spark, sf_dir)) if folds else dataset(spark, sf_dir)
     both = reduced_scorecard()(scorecard(people))
     names = ("y_pred", "p_high", "p_low", "p_moderate")
     answers = F.array(
@@ -199,12 +197,12 @@ def report(spark, sf_dir):
 # --- splits -----------------------------------------------------------------------------------------
 @query("stratified_holdout", "select SEQN, diabetes_risk, is_test from holdout")
 def stratified_holdout(spark, sf_dir):
-    return split.stratified_holdout(dataset(spark, sf_dir)).select("SEQN", K.TARGET, "is_test")
+    return split.stratified_holdout(stored_dataset(spark, sf_dir)).select("SEQN", K.TARGET, "is_test")
 
 
 @query("fold_assignment", "select SEQN, diabetes_risk, fold from folds")
 def fold_assignment(spark, sf_dir):
-    return split.fold_assignment(dataset(spark, sf_dir)).select("SEQN", K.TARGET, "fold")
+    return split.fold_assignment(stored_dataset(spark, sf_dir)).select("SEQN", K.TARGET, "fold")
 
 
 EXTRA["fold_f1"] = (
