@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from riskcohort.plans import assessment_queries, cohort_queries, metric_queries  # noqa: F401
+from riskcohort.plans import (  # noqa: F401
+    assessment_queries, cohort_queries, metric_queries, model_queries,
+)
 from riskcohort.plans import registry
 
 
