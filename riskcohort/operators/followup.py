@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
@@ -55,15 +56,16 @@ def _assembled(df: DataFrame, cuts: dict[str, list[float]]) -> DataFrame:
 
 
 def fit_monotone(train: DataFrame, y: str = "y", w: str = "ipcw_weight", steps: int = 20,
-                 reg: float = 1e-4, max_iter: int = 60) -> MonotoneRisk:
+                 reg: float = 1e-4, max_iter: int = 40) -> MonotoneRisk:
     cuts = thresholds(train, steps)
     n = sum(len(v) for v in cuts.values())
     lower = DenseMatrix(1, n + 1, [0.0] * n + [float("-inf")])
     rows = _assembled(train, cuts).select("features", F.col(y).cast("double").alias("label"), F.col(w).alias("_w"))
+    rows = rows.persist()
     model = LogisticRegression(
         featuresCol="features", labelCol="label", weightCol="_w", regParam=reg, maxIter=max_iter,
         lowerBoundsOnCoefficients=lower, standardization=False,
-    ).fit(rows.persist())
+    ).fit(rows)
     rows.unpersist()
     return MonotoneRisk(cuts, model)
 
@@ -75,13 +77,19 @@ def out_of_fold(weighted: DataFrame, folds: int = K.FOLDS, seed: int = K.SEED, p
     the weights of the whole eligible cohort are kept.
     """
     folded = cut_lineage(split.fold_assignment(weighted, label="y", row_id="participant_id", seed=seed, folds=folds))
-    out = None
-    for k in range(folds):
+
+    def run(k: int) -> DataFrame:
         train = folded.filter(F.col("fold") != k)
         if per_fold is not None:
             train = per_fold(train)
-        part = fit_monotone(train, **options).score(folded.filter(F.col("fold") == k), "oof_risk_3y")
-        out = part if out is None else out.unionByName(part)
+        return fit_monotone(train, **options).score(folded.filter(F.col("fold") == k), "oof_risk_3y")
+
+    # The fits run side by side; rows stay on the executors.
+    with ThreadPool(min(folds, 5)) as pool:
+        parts = pool.map(run, range(folds))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
     return out
 
 

@@ -66,9 +66,8 @@ def scorecard_importance(spark, sf_dir):
 
 
 def _training_vectors(spark, sf_dir):
-    train = features.numeric_predictors(
-        split.stratified_holdout(stored_dataset(spark, sf_dir)).filter("not is_test")
-    )
+    held = split.stratified_holdout(stored_dataset(spark, sf_dir))
+    train = cut_lineage(features.numeric_predictors(held.filter("not is_test")))
     prepared = features.feature_pipeline(train).fit(train)
     return features.label_encoder().transform(prepared.transform(train)).select("features", features.LABEL)
 
