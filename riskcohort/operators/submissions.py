@@ -1,8 +1,9 @@
 """Whole-table checks of submitted assessments.
 
-A submission is a row with a JSON ``body``. Fields are read from the body as a VARIANT, so a
-boolean, a number, a string, a JSON null and an absent key stay distinct. Each endpoint is an
-ordered list of nullable error codes; the first one that is not NULL is the row's error.
+A submission is a row with a JSON ``body``. It is read once as a map of raw value texts, so an
+absent key and a JSON null stay distinct; the kind of a value is looked up in a VARIANT only for
+the texts ``true`` and ``false``, where a boolean and a string differ. Each endpoint is an ordered
+list of nullable error codes; the first one that is not NULL is the row's error.
 """
 
 from __future__ import annotations
@@ -38,24 +39,34 @@ IDENTITY_FIELDS = {
 
 
 def parse_body(body: Column) -> Column:
-    """VARIANT of the JSON text; bare NaN/Infinity tokens are read as words."""
-    quoted = F.regexp_replace(body, r"([:\[,]\s*)(-?Infinity|NaN)(?=\s*[,}\]])", r'$1"$2"')
-    return F.coalesce(F.try_parse_json(body), F.try_parse_json(quoted))
+    """Key -> raw value text of a JSON object; NULL for anything else."""
+    return F.from_json(body, "map<string,string>", {"allowNonNumericNumbers": "true"})
 
 
-def is_object(body: Column) -> Column:
-    return is_true(F.schema_of_variant(body).startswith("OBJECT"))
+def present(values: Column, names: tuple[str, ...]) -> Column:
+    out = F.map_contains_key(values, names[0])
+    for name in names[1:]:
+        out = out | F.map_contains_key(values, name)
+    return is_true(out)
 
 
-def resolve(body: Column, names: tuple[str, ...]) -> Column:
-    """The first key that is present, even when its value is JSON null."""
-    out = None
-    for name in names:
-        value = F.variant_get(body, f"$['{name}']", "variant")
-        out = F.when(value.isNotNull(), value) if out is None else out.when(value.isNotNull(), value)
+def resolve(values: Column, names: tuple[str, ...]) -> Column:
+    """Value of the first key that is present, even when that value is JSON null."""
+    out = F.try_element_at(values, F.lit(names[-1]))
+    for name in reversed(names[:-1]):
+        own = F.try_element_at(values, F.lit(name))
+        out = F.when(F.map_contains_key(values, name), own).otherwise(out)
     return out
 
 
+def _is_boolean(body: Column, names: tuple[str, ...]) -> Column:
+    value = F.lit(None).cast("variant")
+    for name in reversed(names):
+        own = F.variant_get(F.try_parse_json(body), f"$['{name}']", "variant")
+        value = F.when(own.isNotNull(), own).otherwise(value)
+    return is_true(F.schema_of_variant(value) == "BOOLEAN")
+
+
 def evaluated_once(df: DataFrame) -> DataFrame:
     """The same rows, with every column computed at this point.
 
@@ -66,32 +77,26 @@ def evaluated_once(df: DataFrame) -> DataFrame:
     return df.select(F.inline(F.array(row)))
 
 
-def read_fields(df: DataFrame, fields: dict[str, tuple[str, ...]], body: str = "_body") -> DataFrame:
-    """Replace the parsed body by ``<field>_text`` (trimmed, NULL when there is nothing),
-    ``<field>_bool`` and, for numeric fields, ``<field>_num``."""
-    keep = [c for c in df.columns if c not in (body, "body")]
-    out = df.select(
-        *keep, is_object(F.col(body)).alias("_object"),
-        *[resolve(F.col(body), names).alias(f"_{f}") for f, names in fields.items()],
-    )
-    out = out.withColumns({f"_{f}_kind": F.schema_of_variant(F.col(f"_{f}")) for f in fields})
-
-    def shown(f: str) -> Column:
-        # A whole number written with a decimal point keeps it: "-1.0" is not the token "-1".
-        plain = F.col(f"_{f}").cast("string")
-        pointed = F.col(f"_{f}_kind").rlike(r"^DECIMAL\(([0-9]|1[0-8]),0\)$")
-        return F.nullif(text.trimmed(F.when(pointed, F.concat(plain, F.lit(".0"))).otherwise(plain)), F.lit(""))
-
+def read_fields(df: DataFrame, fields: dict[str, tuple[str, ...]]) -> DataFrame:
+    """Replace ``body`` by ``<field>_text`` (trimmed, NULL when there is nothing) and, for numeric
+    fields, ``<field>_bool`` and ``<field>_num``."""
+    keep = [c for c in df.columns if c != "body"]
+    out = df.withColumn("_values", parse_body(F.col("body")))
     out = out.select(
-        *keep, "_object",
-        *[shown(f).alias(f"{f}_text") for f in fields],
-        *[is_true(F.col(f"_{f}_kind") == "BOOLEAN").alias(f"{f}_bool") for f in fields],
+        *keep, "body", F.col("_values").isNotNull().alias("_object"),
+        *[
+            F.nullif(text.trimmed(resolve(F.col("_values"), names)), F.lit("")).alias(f"{f}_text")
+            for f, names in fields.items()
+        ],
     )
-    numbers = {
-        f"{f}_num": F.when(~F.col(f"{f}_bool"), text.to_number(F.col(f"{f}_text")))
-        for f in fields if f in NUMERIC_FIELDS
+    numeric = [f for f in fields if f in NUMERIC_FIELDS]
+    flags = {
+        f"{f}_bool": F.when(F.col(f"{f}_text").isin("true", "false"), _is_boolean(F.col("body"), fields[f]))
+        .otherwise(F.lit(False))
+        for f in numeric
     }
-    return evaluated_once(out.withColumns(numbers))
+    numbers = {f"{f}_num": text.to_number(F.col(f"{f}_text")) for f in numeric}
+    return evaluated_once(out.withColumns({**flags, **numbers}).drop("body"))
 
 
 @dataclass(frozen=True)
@@ -246,8 +251,7 @@ def typed_columns(labs: bool) -> dict[str, Column]:
 def _validated(df: DataFrame, fields: dict, error: Column, labs: bool) -> DataFrame:
     """``df`` without its body, plus ``error_code`` and typed values (NULL when rejected)."""
     identity = [c for c in df.columns if c != "body"]
-    parsed = df.withColumn("_body", parse_body(F.col("body")))
-    parsed = read_fields(parsed, {**fields, **IDENTITY_FIELDS})
+    parsed = read_fields(df, {**fields, **IDENTITY_FIELDS})
     parsed = parsed.withColumn("error_code", F.when(~F.col("_object"), "body.object").otherwise(error))
     passed = F.col("error_code").isNull()
     typed = [F.when(passed, c).alias(n) for n, c in typed_columns(labs).items()]

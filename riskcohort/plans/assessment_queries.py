@@ -211,15 +211,14 @@ def error_code_counts(spark, sf_dir):
 ))
 def alias_resolution(spark, sf_dir):
     """Which key supplies each value: presence decides, even when the value is null."""
-    parsed = fixtures.alias_bodies(spark, sf_dir).withColumn("_body", submissions.parse_body(F.col("body")))
-    names = submissions.FUTURE_FIELDS
-    resolved = {f: submissions.resolve(F.col("_body"), names[f]) for f in ("age", "bmi", "glucose")}
+    parsed = fixtures.alias_bodies(spark, sf_dir).withColumn("_values", submissions.parse_body(F.col("body")))
+    names, values = submissions.FUTURE_FIELDS, F.col("_values")
     return parsed.select(
         "submission_id",
-        resolved["age"].cast("string").alias("age"),
-        resolved["age"].isNotNull().alias("age_present"),
-        resolved["bmi"].cast("string").alias("bmi"),
-        resolved["glucose"].cast("string").alias("glucose"),
+        submissions.resolve(values, names["age"]).alias("age"),
+        submissions.present(values, names["age"]).alias("age_present"),
+        submissions.resolve(values, names["bmi"]).alias("bmi"),
+        submissions.resolve(values, names["glucose"]).alias("glucose"),
     )
 
 

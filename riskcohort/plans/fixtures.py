@@ -138,10 +138,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def spread(df: DataFrame) -> DataFrame:
+    """A scan with fewer splits than cores, spread over all of them; larger scans are left alone.
+
+    Only worth it ahead of costly row work such as parsing.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def fixture(spark: SparkSession, sf_dir: str, name: str, spread_scan: bool = False) -> DataFrame:
     sql = FIXTURES[name]
     used = [t for t in TABLES if "{" + t + "}" in sql]
-    return spark.sql(sql, **{t: table(spark, sf_dir, t) for t in used})
+    read = {t: table(spark, sf_dir, t) for t in used}
+    if spread_scan:
+        read = {t: spread(df) for t, df in read.items()}
+    return spark.sql(sql, **read)
 
 
 def modules(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -151,7 +163,7 @@ def modules(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 def submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests as they arrive: ids and a JSON body; NULL fields are absent keys."""
-    raw = fixture(spark, sf_dir, "raw_submissions")
+    raw = fixture(spark, sf_dir, "raw_submissions", spread_scan=True)
     body = F.to_json(F.struct(*[F.col(r).alias(f) for r, f in RAW_TO_FIELD.items()]))
     return raw.select("submission_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), body.alias("body"))
 
