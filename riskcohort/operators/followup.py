@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from riskcohort import constants as K
 from riskcohort.operators import split
-from riskcohort.session import cut_lineage
+from riskcohort.session import cut_lineage, spread_by
 
 MONOTONE = ("age", "bmi", "fpg_mmol_l")
 FREE = ("male",)
@@ -76,7 +76,8 @@ def out_of_fold(weighted: DataFrame, folds: int = K.FOLDS, seed: int = K.SEED, p
     ``per_fold`` optionally re-weights a training part from its own censoring curve; by default
     the weights of the whole eligible cohort are kept.
     """
-    folded = cut_lineage(split.fold_assignment(weighted, label="y", row_id="participant_id", seed=seed, folds=folds))
+    stored = cut_lineage(spread_by(weighted, "participant_id"))
+    folded = cut_lineage(split.fold_assignment(stored, label="y", row_id="participant_id", seed=seed, folds=folds))
 
     def run(k: int) -> DataFrame:
         train = folded.filter(F.col("fold") != k)

@@ -10,7 +10,7 @@ from riskcohort.operators import cohort as co, profile, split
 from riskcohort.plans import fixtures
 from riskcohort.plans.registry import query, rounded
 from riskcohort.operators.replay import labs_outer_join, one_to_one_violations
-from riskcohort.session import cut_lineage
+from riskcohort.session import cut_lineage, spread_by
 from riskcohort.sources.tables import eligible_followup, landing_audit
 
 
@@ -24,7 +24,7 @@ def dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stored_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The dataset as a written table: splits and models read it several times."""
-    return cut_lineage(dataset(spark, sf_dir))
+    return cut_lineage(spread_by(dataset(spark, sf_dir), "SEQN"))
 
 
 def binary(spark: SparkSession, sf_dir: str) -> DataFrame:
