@@ -11,7 +11,8 @@ NUMBER_PATTERN = (
     r"^[+-]?([0-9]+(_[0-9]+)*[.]?([0-9]+(_[0-9]+)*)?|[.][0-9]+(_[0-9]+)*)"
     r"([eE][+-]?[0-9]+(_[0-9]+)*)?$"
 )
-NON_FINITE_PATTERN = r"(?i)^[+-]?(nan|inf|infinity)$"
+# Bare NaN and Infinity tokens of a JSON body arrive in double quotes.
+NON_FINITE_PATTERN = r'(?i)^"?[+-]?(nan|inf|infinity)"?$'
 BLANKS = " \t\n\r\x0b\x0c"
 MARKUP = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#039;"))
 
