@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from riskcohort.llm import simhash, windows
+from riskcohort.llm import simhash, token_counts, windows
 from riskcohort.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,3 +28,9 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = windows.remove_repeated(table(spark, sf_dir, "documents"), digest=True)
     return found.select("doc_id", "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
+
+
+@query
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = token_counts.token_counts(table(spark, sf_dir, "documents"), token_counts.word_tokenizer_path())
+    return found.withColumn("over_limit", F.col("n_tokens") > 2048)
