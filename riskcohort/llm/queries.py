@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from riskcohort.llm import simhash, token_counts, windows
+from riskcohort.llm import packing, simhash, token_counts, windows
 from riskcohort.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,3 +34,8 @@ def op8_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = token_counts.token_counts(table(spark, sf_dir, "documents"), token_counts.word_tokenizer_path())
     return found.withColumn("over_limit", F.col("n_tokens") > 2048)
+
+
+@query
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), token_counts.word_tokenizer_path())
