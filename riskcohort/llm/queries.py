@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from riskcohort.llm import mixing, packing, simhash, token_counts, windows
+from riskcohort.llm import merkle, mixing, packing, simhash, token_counts, windows
 from riskcohort.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,3 +44,8 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op2_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.edited_neighbours(table(spark, sf_dir, "documents")).drop("edits")
