@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from riskcohort.llm import merkle, mixing, packing, simhash, token_counts, windows
+from riskcohort.llm import merkle, mixing, neighbours, packing, simhash, token_counts, windows
 from riskcohort.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,3 +49,9 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.edited_neighbours(table(spark, sf_dir, "documents")).drop("edits")
+
+
+@query
+def op4_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, vectors.filter("vec_id % 100 = 0"), 10)
