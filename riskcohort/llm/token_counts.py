@@ -9,18 +9,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from riskcohort.llm.common import SPACE, batch, id_and_text
-from riskcohort.session import cut_lineage
 
-# The most frequent pre-tokens are counted by a broadcast join: at most so many, and no longer than this.
-FREQUENT = 1 << 17
+# Frequent pre-tokens are counted by a broadcast join: at most so many, and no longer than this. They are picked from
+# one text in SHOWN; the pick moves work between the two ways of counting and changes no result.
+FREQUENT = 1 << 18
 FREQUENT_BYTES = 64
-
-_PIECES = pa.schema([("word", pa.string()), ("uses", pa.int64()), ("pieces", pa.int64())])
-
+SHOWN = 16
 
 @cache
 def tokenizer(path: str):
@@ -39,15 +38,30 @@ def word_tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def pieces_of(words: DataFrame, path: str) -> DataFrame:
-    """``word, uses, pieces``: number of tokens of each distinct word."""
+def _counter(path: str):
+    """Numbers of tokens of a list of pre-tokens."""
+    encode = tokenizer(path).encode_batch_fast
+
+    def count(words: list[str]) -> list[int]:
+        return [len(e) for i in range(0, len(words), 20_000) for e in encode(words[i:i + 20_000], add_special_tokens=False)]
+
+    return count
+
+
+def frequent_pieces(rows: DataFrame, path: str, most: int) -> DataFrame:
+    """``word, often``: number of tokens of at most ``most`` frequent pre-tokens."""
+    schema = pa.schema([("word", pa.string()), ("often", pa.int64())])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokenizer(path).encode_batch_fast
+        count = _counter(path)
         for b in batches:
-            counted = [len(e) for e in encode(b.column("word").to_pylist(), add_special_tokens=False)]
-            yield batch(_PIECES, word=b.column("word"), uses=b.column("uses"), pieces=counted)
+            yield batch(schema, word=b.column("word"), often=count(b.column("word").to_pylist()))
 
-    return words.select("word", "uses").mapInArrow(run, "word string, uses long, pieces long")
+    words = (rows.filter(F.pmod(F.xxhash64("text"), F.lit(SHOWN)) == 0)
+             .select(F.explode(F.split("text", SPACE)).alias("word"))
+             .filter((F.col("word") != "") & (F.octet_length("word") <= FREQUENT_BYTES)))
+    return (words.groupBy("word").agg(F.count("*").alias("uses")).orderBy(F.desc("uses"), "word").limit(most)
+            .select("word").mapInArrow(run, "word string, often long"))
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
@@ -58,27 +72,43 @@ def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     are added, special strings inside texts count as the library's default has them. A null text is empty:
     0 bytes, 0 tokens. Repeated rows and null ids are kept. An empty table gives an empty result.
 
-    Pieces of the distinct pre-tokens are counted once and checkpointed. Rows of frequent pre-tokens meet
-    their counts in a broadcast of at most ``frequent`` words and are summed at once; only the rest is
-    shuffled, as frequencies per document.
+    Frequent pre-tokens meet their counts in a broadcast of at most ``frequent`` words of a bounded length, and are
+    summed at once. The others are dealt out by word as frequencies per document; all of a word meet in one task,
+    which counts its pieces once and hands on sums per document. Ids are never kept.
     """
-    rows = id_and_text(docs, id_col, text_col).select(
-        "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "text")
-    words = F.explode(F.split("text", SPACE)).alias("word")
-    distinct = rows.select(words).filter("word != ''").groupBy("word").agg(F.count("*").alias("uses"))
-    pieces = cut_lineage(pieces_of(distinct, tokenizer_path))
-    often = (pieces.filter(F.octet_length("word") <= FREQUENT_BYTES).orderBy(F.desc("uses"), "word").limit(frequent)
-             .select("word", F.col("pieces").alias("often")))
+    rows = id_and_text(docs, id_col, text_col)
+    often = F.broadcast(frequent_pieces(rows, tokenizer_path, frequent))
     # Keyed by row, so that rows with equal ids stay apart. Text is dropped before anything is shuffled.
-    keyed = rows.withColumn("row", F.monotonically_increasing_id())
-    seen = keyed.select("row", "doc_id", "n_bytes", words).join(F.broadcast(often), "word", "left")
-    # A space is in no pre-token: rows that are done get a key of their own instead of meeting in one.
-    rest = F.when((F.col("word") != "") & F.col("often").isNull(), F.col("word")).otherwise(
-        F.concat(F.lit(" "), F.col("row").cast("string")))
-    frequencies = (seen.select("row", "doc_id", "n_bytes", rest.alias("word"), F.coalesce("often", F.lit(0)).alias("often"))
-                   .groupBy("row", "doc_id", "n_bytes", "word")
-                   .agg(F.count("*").alias("n"), F.sum("often").alias("done")))
-    return (frequencies.join(pieces.select("word", "pieces"), "word", "left")
-            .groupBy("row", "doc_id", "n_bytes")
-            .agg(F.sum(F.col("done") + F.col("n") * F.coalesce("pieces", F.lit(0))).alias("n_tokens"))
-            .select("doc_id", "n_bytes", "n_tokens"))
+    keyed = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    seen = (keyed.select("row", "doc_id", F.octet_length("text").cast("long").alias("n_bytes"),
+                         F.posexplode(F.split("text", SPACE)).alias("at", "word"))
+            .join(often, "word", "left"))
+    # The first word's row carries what belongs to the document. A space is in no pre-token: rows that are done get
+    # a key of their own instead of meeting in one.
+    rest = (F.col("word") != "") & F.col("often").isNull()
+    word = F.when(rest, F.col("word")).otherwise(F.concat(F.lit(" "), F.col("row").cast("string")))
+    first = lambda c: F.max(F.when(F.col("at") == 0, F.col(c))).alias(c)
+    frequencies = (seen.withColumn("word", word).groupBy("row", "word")
+                   .agg(F.count(F.when(rest, 1)).alias("n"), F.sum(F.coalesce("often", F.lit(0))).alias("n_tokens"),
+                        first("doc_id"), first("n_bytes")))
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count, last, last_pieces = _counter(tokenizer_path), None, 0
+        for b in batches:
+            coded = b.column("word").dictionary_encode()
+            words = coded.dictionary.to_pylist()
+            new = [w for w in words if w[0] != " " and w != last]
+            pieces = dict(zip(new, count(new)))
+            if last is not None:
+                pieces.setdefault(last, last_pieces)
+            each = np.array([pieces.get(w, 0) for w in words], np.int64)
+            if words and words[-1] in pieces:  # the word may go on in the next batch
+                last, last_pieces = words[-1], pieces[words[-1]]
+            tokens = b.column("n_tokens").to_numpy() + b.column("n").to_numpy() * each[coded.indices.to_numpy()]
+            yield batch(schema, row=b.column("row"), doc_id=b.column("doc_id"), n_bytes=b.column("n_bytes"), n_tokens=tokens)
+
+    counted = (frequencies.select("row", "word", "n", "n_tokens", "doc_id", "n_bytes").repartition("word")
+               .sortWithinPartitions("word").mapInArrow(run, "row long, doc_id long, n_bytes long, n_tokens long"))
+    return (counted.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"),
+                                       F.sum("n_tokens").alias("n_tokens")).drop("row"))
