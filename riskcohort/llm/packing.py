@@ -1,7 +1,7 @@
 """Packing of token sequences into windows.
 
 The histogram of document lengths is packed, not the documents: combinations of a few lengths that fill a
-window are enumerated, non-negative least squares gives their repeat counts, the counts are rounded down and
+window are enumerated, non-negative least squares gives their repeat counts, the counts are rounded and
 what remains is packed greedily, longest first, cutting where a window is full. Documents then find their
 places from their rank within their length.
 """
@@ -10,13 +10,14 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from riskcohort.llm.common import batch, id_and_text, shuffle_partitions, texts_as_bytes
-from riskcohort.llm.token_counts import tokenizer
+from riskcohort.llm.token_counts import WordEncoder
 from riskcohort.session import cut_lineage
 
 WINDOW = 4096
@@ -24,22 +25,30 @@ NO_ID = -(1 << 63)
 
 
 class WordIds(dict):
-    """Token ids (little-endian unsigned 32 bits) of words, kept up to a bound."""
+    """Token ids (little-endian unsigned 32 bits) of words. Of more than ``bound`` words, those not used again are
+    forgotten first."""
 
-    def __init__(self, path: str, bound: int = 300_000) -> None:
+    def __init__(self, path: str, bound: int = 500_000) -> None:
         super().__init__()
-        self.path, self.bound = path, bound
+        self.encoder, self.bound, self.older = WordEncoder(path), bound, {}
 
     def of(self, texts: list[bytes]) -> Iterator[bytes]:
         """Ids of each text: white space is dropped by the tokenizer, so words can be looked up one by one."""
         split = [t.split() for t in texts]
         if len(self) > self.bound:
+            self.older = dict(self)
             self.clear()
-        new = list({w for words in split for w in words if w not in self})
+        new = [w for w in set().union(*split) if w not in self]
+        if self.older:
+            known = [w for w in new if w in self.older]
+            self.update(zip(known, map(self.older.__getitem__, known)))
+            new = [w for w in new if w not in self]
         for start in range(0, len(new), 20_000):
             some = new[start:start + 20_000]
-            encoded = tokenizer(self.path).encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
-            self.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(some, encoded))
+            found = self.encoder.ids([w.decode() for w in some])
+            ids = np.fromiter(chain.from_iterable(found), "<u4").tobytes()
+            ends = np.cumsum([4 * len(x) for x in found]).tolist()
+            self.update(zip(some, (ids[i:j] for i, j in zip([0, *ends], ends))))
         get = self.__getitem__
         for words in split:
             yield b"".join(map(get, words))
@@ -61,37 +70,57 @@ def _groups(texts: Iterator[bytes], size: int = 1 << 20) -> Iterator[list[bytes]
 # ---- the plan, over a histogram of at most ``window`` - 1 lengths ----
 
 
-def combinations_of(counts: np.ndarray, window: int, depth: int = 3, per_length: int = 4) -> list[tuple[int, ...]]:
-    """Combinations of at most ``depth`` present lengths that fill a window: alone (a power of two), two that
-    add up, and, for each length, the ``per_length`` fullest bins of threes that do."""
+Combination = dict[int, int]  # times of each length
+
+
+def combinations_of(counts: np.ndarray, window: int, repeats: int = 8, fullest: int = 3) -> list[Combination]:
+    """Combinations of at most three present lengths that fill a window.
+
+    A length comes alone (a power of two needs no padding either), or up to ``repeats`` times with what is
+    then missing: one present length, or the ``fullest`` pairs of present lengths that add up to it.
+    """
     present = np.flatnonzero(counts)
-    found = {(int(a),) for a in present if a & (a - 1) == 0}
     have = counts > 0
-    for a in present:
-        b = window - a
-        if 0 < b <= a and have[b]:
-            found.add((int(a), int(b)))
-        if depth >= 3:
-            rest = window - a
-            second = present[(present >= (rest + 1) // 2) & (present <= min(a, rest - 1))]
-            second = second[have[rest - second]]
-            best = second[np.argsort(-np.minimum(counts[second], counts[rest - second]), kind="stable")[:per_length]]
-            found |= {(int(a), int(b), int(rest - b)) for b in best}
-    return sorted(found, reverse=True)
-
-
-def repeat_counts(combos: list[tuple[int, ...]], counts: np.ndarray, rounds: int = 400) -> np.ndarray:
+    found: dict[tuple, Combination] = {}
+
+    def add(*lengths: tuple[int, int]) -> None:
+        combo: Combination = {}
+        for a, m in lengths:
+            combo[int(a)] = combo.get(int(a), 0) + int(m)
+        found[tuple(sorted(combo.items()))] = combo
+
+    for a in present.tolist():
+        if a & (a - 1) == 0:
+            add((a, 1))
+        most = window // a
+        for m in sorted({*range(1, min(most, repeats) + 1), most}):
+            missing = window - m * a
+            if missing == 0:
+                add((a, m))
+                continue
+            if have[missing]:
+                add((a, m), (missing, 1))
+            b = present[(present >= (missing + 1) // 2) & (present < missing)]
+            b = b[have[missing - b]]
+            for c in b[np.argsort(-np.minimum(counts[b], counts[missing - b]), kind="stable")[:fullest]].tolist():
+                add((a, m), (c, 1), (missing - c, 1))
+    return [found[k] for k in sorted(found)]
+
+
+def repeat_counts(combos: list[Combination], counts: np.ndarray, rounds: int = 300) -> np.ndarray:
     """Non-negative least squares of combination repeats against the histogram, by accelerated projected
     gradient on the sparse matrix of (combination, length) multiplicities."""
     if not combos:
         return np.zeros(0)
-    rows = np.concatenate([np.array(c) for c in combos])
+    rows = np.array([a for c in combos for a in c])
+    times = np.array([m for c in combos for m in c.values()], float)
     columns = np.repeat(np.arange(len(combos)), [len(c) for c in combos])
-    target = counts.astype(float)
-    # Columns are scaled to weight each length by its own size, so that rare lengths count too.
-    weight = 1 / np.sqrt(np.maximum(target, 1))
-    value = weight[rows]
-    b = target * weight
+    # Lengths are weighted by the size of their bins, so that rare ones count too; columns have unit norm.
+    weight = 1 / np.sqrt(np.maximum(counts, 1))
+    value = weight[rows] * times
+    norm = np.sqrt(np.bincount(columns, value * value, len(combos)))
+    value /= norm[columns]
+    b = counts * weight
     apply = lambda x: np.bincount(rows, value * x[columns], len(counts))
     back = lambda r: np.bincount(columns, value * r[rows], len(combos))
     v = np.ones(len(combos))
@@ -105,7 +134,7 @@ def repeat_counts(combos: list[tuple[int, ...]], counts: np.ndarray, rounds: int
         z = np.maximum(0, y - step * back(apply(y) - b))
         t, last = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
         x, y = z, z + (last - 1) / t * (z - x)
-    return x
+    return x / norm
 
 
 def plan(counts: np.ndarray, window: int = WINDOW) -> tuple[dict[str, np.ndarray], np.ndarray, int]:
@@ -116,21 +145,24 @@ def plan(counts: np.ndarray, window: int = WINDOW) -> tuple[dict[str, np.ndarray
     from which a length is residual; and the number of sequences used.
     """
     combos = combinations_of(counts, window)
-    x = np.floor(repeat_counts(combos, counts) + 1e-6).astype(np.int64)
+    x = repeat_counts(combos, counts)
+    down = np.floor(x + 1e-6).astype(np.int64)
     left = counts.astype(np.int64).copy()
     slots, base = [], 0
-    for k in np.argsort(-x, kind="stable"):
-        combo = combos[k]
-        parts = {length: combo.count(length) for length in combo}
-        n = min([int(x[k]), *(int(left[a]) // m for a, m in parts.items())])
-        if n <= 0:
-            continue
-        at = 0
-        for a, m in parts.items():
-            slots.append((a, int(counts[a] - left[a]), n, m, base, at))
-            left[a] -= n * m
-            at += a * m
-        base += n
+    # Rounded down first; then one more of each, by the part cut off; then as many as the lengths left allow.
+    by_count, by_rest = np.argsort(-down, kind="stable"), np.argsort(down - x, kind="stable")
+    for order, limit in ((by_count, down), (by_rest, np.ones_like(down)), (by_rest, np.full_like(down, counts.sum()))):
+        for k, most in zip(order.tolist(), limit[order].tolist()):
+            parts = combos[k]
+            n = min([most, *(int(left[a]) // m for a, m in parts.items())])
+            if n <= 0:
+                continue
+            at = 0
+            for a, m in parts.items():
+                slots.append((a, int(counts[a] - left[a]), n, m, base, at))
+                left[a] -= n * m
+                at += a * m
+            base += n
     slots.sort()
     names = ("length", "start", "repeats", "per", "base", "offset")
     arrays = {n: np.array([s[i] for s in slots], np.int64) for i, n in enumerate(names)}

@@ -6,11 +6,13 @@ pieces across white space (which they drop), so a text has as many tokens as its
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, functions as F
 
 from riskcohort.llm.common import SPACE, batch, id_and_text
@@ -38,14 +40,76 @@ def word_tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def _counter(path: str):
-    """Numbers of tokens of a list of pre-tokens."""
-    encode = tokenizer(path).encode_batch_fast
+# The normalizer and pre-tokenizer for which ``WordEncoder`` can split words itself.
+_NORMALIZER = {"type": "Sequence", "normalizers": [
+    {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": _PATTERN}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+# Characters that NFC leaves alone, that are lower-cased one by one alike everywhere, and of settled classes.
+_PLAIN = regex.compile("[\n\x21-\x7E\u00A1-\u012F\u0131-\u017F]*")
+
 
-    def count(words: list[str]) -> list[int]:
-        return [len(e) for i in range(0, len(words), 20_000) for e in encode(words[i:i + 20_000], add_special_tokens=False)]
+def _byte_characters() -> dict[int, int]:
+    """Byte-level alphabet: printable Latin-1 characters stand for themselves, other bytes for those from 256 on."""
+    kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in kept)}
 
-    return count
+
+class WordEncoder:
+    """Token ids of words without white space.
+
+    Plain words are cut into pre-tokens here and only new pre-tokens go through the model; all others, and words
+    that may hold special tokens, go through the whole tokenizer, as do all words of a tokenizer of another kind.
+    """
+
+    def __init__(self, path: str) -> None:
+        self.whole = tokenizer(path)
+        form = json.loads(self.whole.to_str())
+        self.split = form["normalizer"] == _NORMALIZER and form["pre_tokenizer"] == _PRE_TOKENIZER and all(
+            t["content"].startswith("<|") for t in form["added_tokens"])
+        self.cut, self.table = regex.compile(_PATTERN + r"|\n"), _byte_characters()
+
+    def ids(self, words: list[str]) -> list[list[int]]:
+        if self.split and words:
+            joined = "\n".join(words)
+            if "<|" not in joined and _PLAIN.fullmatch(joined):
+                return self._plain(joined)
+            plain = [w for w in words if "<|" not in w and "\n" not in w and _PLAIN.fullmatch(w)]
+            found = dict(zip(plain, self._plain("\n".join(plain)))) if plain else {}
+            rest = [w for w in words if w not in found]
+            found.update(zip(rest, self._library(rest)))
+            return [found[w] for w in words]
+        return self._library(words)
+
+    def _library(self, words: list[str]) -> list[list[int]]:
+        return [e.ids for i in range(0, len(words), 20_000)
+                for e in self.whole.encode_batch_fast(words[i:i + 20_000], add_special_tokens=False)]
+
+    def _plain(self, joined: str) -> list[list[int]]:
+        parts = self.cut.findall(joined.lower())
+        encode, known = self.whole.model.tokenize, {}
+        for part in set(parts):
+            mapped = part if part.isascii() else part.encode().decode("latin-1").translate(self.table)
+            known[part] = [t.id for t in encode(mapped)]
+        known["\n"] = None
+        out: list[list[int]] = []
+        now: list[int] = []
+        for ids in map(known.__getitem__, parts):
+            if ids is None:
+                out.append(now)
+                now = []
+            else:
+                now = now + ids if now else ids
+        out.append(now)
+        return out
+
+
+def _counter(path: str):
+    """Numbers of tokens of a list of pre-tokens."""
+    encoder = WordEncoder(path)
+    return lambda words: [len(ids) for i in range(0, len(words), 20_000) for ids in encoder.ids(words[i:i + 20_000])]
 
 
 def frequent_pieces(rows: DataFrame, path: str, most: int) -> DataFrame:
