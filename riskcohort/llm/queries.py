@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from riskcohort.llm import merkle, mixing, neighbours, packing, simhash, suffix_dedup, token_counts, windows
+from riskcohort.llm import language, merkle, mixing, neighbours, packing, simhash, suffix_dedup, token_counts, windows
 from riskcohort.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,3 +61,12 @@ def op4_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), digest=True)
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.col("kept").cast("string").alias("kept_sha256"))
+
+
+@query
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # A null id is not held out, and nothing is learned from it.
+    fold = F.crc32(F.col("doc_id").cast("string")) % 4
+    found = language.identify(table(spark, sf_dir, "documents"), fold != 2,
+                              keep={"held_out": F.coalesce(fold == 2, F.lit(False))})
+    return found.select("doc_id", "held_out", "lang_pred", "score", "rejected")
