@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from riskcohort.llm import language, merkle, mixing, neighbours, packing, simhash, suffix_dedup, token_counts, windows
+from riskcohort.llm import language, merkle, mixing, neighbours, packing, quality, simhash, suffix_dedup, token_counts, windows
 from riskcohort.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,7 +59,7 @@ def op4_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), digest=True)
+    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), form="sha256")
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.col("kept").cast("string").alias("kept_sha256"))
 
 
@@ -70,3 +70,10 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = language.identify(table(spark, sf_dir, "documents"), fold != 2,
                               keep={"held_out": F.coalesce(fold == 2, F.lit(False))})
     return found.select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+@query
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, quality.graded(table(spark, sf_dir, "labels")), quality.GRADES)
+    return quality.rate(docs, model, quality.GRADES)

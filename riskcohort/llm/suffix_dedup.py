@@ -407,13 +407,13 @@ _KEPT = pa.schema([("doc_id", pa.int64()), ("kept", pa.binary()), ("n_bytes", pa
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
-                   gram: int = GRAM, digest: bool = False) -> DataFrame:
+                   gram: int = GRAM, form: str = "bytes") -> DataFrame:
     """``doc_id, kept, n_bytes, n_removed, n_spans, spans``: texts without the bytes of strings that occur before.
 
     Texts are UTF-8 bytes (null: none). A string of ``length`` bytes (at most 254) occurs before if it also starts in a
     text with a smaller id, or earlier in the same text; it never crosses texts, may overlap itself, and is
-    judged on the input. ``spans`` are the maximal removed ranges, ``kept`` the remaining bytes (which may cut a
-    character), or their SHA-256 in hex with ``digest``. Texts with the same id (null ids come first) are in the order of
+    judged on the input. ``spans`` are the maximal removed ranges. ``kept`` has, by ``form``, the remaining
+    "bytes" (in which characters may be cut), their "sha256" in hex, or as "text" what is whole characters of them. Texts with the same id (null ids come first) are in the order of
     a hash of the text; rows that repeat with id and text are one text and get the same result. An empty table
     gives an empty result.
 
@@ -433,8 +433,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 ranges = _merged(np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 2) for x in found])).tolist() if found else []
                 ends = [0, *(e for _, e in ranges)]
                 kept = b"".join(text[x:y] for x, y in zip(ends, [*(s for s, _ in ranges), len(text)]))
-                row = (None if i == NO_ID else i, hashlib.sha256(kept).hexdigest().encode() if digest else kept, len(text),
-                       len(text) - len(kept), len(ranges), ranges)
+                shown = {"bytes": lambda x: x, "sha256": lambda x: hashlib.sha256(x).hexdigest().encode(),
+                         "text": lambda x: x.decode(errors="ignore").encode()}[form](kept)
+                row = (None if i == NO_ID else i, shown, len(text), len(text) - len(kept), len(ranges), ranges)
                 for name, value in zip(out, row):
                     out[name].append(value)
             yield batch(_KEPT, **out)
