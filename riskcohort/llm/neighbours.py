@@ -119,7 +119,8 @@ class _Nearest:
         score = np.empty(len(i))
         for start in range(0, len(i), PAIRS):
             part = slice(start, start + PAIRS)
-            score[part] = np.sqrt(((q.vectors[i[part]] - c.vectors[j[part]]) ** 2).sum(axis=1))
+            # Added up in order, as anybody else would.
+            score[part] = np.sqrt(np.add.accumulate((q.vectors[i[part]] - c.vectors[j[part]]) ** 2, axis=1)[:, -1])
         for row in np.flatnonzero(np.diff(edges)).tolist():
             part, heap = slice(edges[row], edges[row + 1]), self.heaps[row]
             for found in zip((-score[part]).tolist(), (-c.ids[j[part]]).tolist()):

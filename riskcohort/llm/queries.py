@@ -77,3 +77,25 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.fit(docs, quality.graded(table(spark, sf_dir, "labels")), quality.GRADES)
     return quality.rate(docs, model, quality.GRADES)
+
+
+SQL["op4_nearest_vectors"] = """
+with v as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings where vec_id is not null and embedding is not null),
+good as (select * from v where list_bool_and(list_transform(e, lambda x: x is not null and isfinite(x))) and list_bool_or(list_transform(e, lambda x: x <> 0))),
+near as (select q.vec_id as query_id, c.vec_id, sqrt(list_sum(list_transform(list_zip(q.e, c.e), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) as score
+from good q join good c on q.vec_id <> c.vec_id and len(q.e) = len(c.e) where q.vec_id % 100 = 0)
+select query_id, cast(rank as int) as rank, vec_id, score from (
+select *, row_number() over (partition by query_id order by score, vec_id) as rank from near) r where rank <= 10
+"""
+
+SQL["op8_repeated_windows"] = r"""
+with words as (select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+wins as (select r, i, array_to_string(ws[i:i + 34], ' ') as s from words, unnest(range(1, len(ws) - 33)) as t(i)),
+again as (select s from wins group by s having count(*) > 1),
+gone as (select distinct r, p from (select r, unnest(range(i, i + 35)) as p from wins join again using (s)) x),
+kept as (select w.r, string_agg(w.word, ' ' order by w.p) as k, count(*) as n from (
+select r, unnest(ws) as word, unnest(range(1, len(ws) + 1)) as p from words) w
+left join gone g on g.r = w.r and g.p = w.p where g.p is null group by w.r)
+select doc_id, cast(len(ws) as bigint) as n_words, cast(len(ws) - coalesce(n, 0) as bigint) as n_removed, sha256(coalesce(k, '')) as kept_sha256
+from words left join kept using (r)
+"""

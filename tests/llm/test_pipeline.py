@@ -32,3 +32,18 @@ def test_stages(spark, small_dir, tmp_path):
     assert abs(words(mixed) - 1.5 * words(shorter)) < 0.02 * words(mixed)
     packed = kept["packing"].collect()
     assert {r.doc_id for r in packed} == {r.doc_id for r in mixed.select("doc_id").distinct().collect()}
+
+
+def test_queries_with_sql(spark, small_dir):
+    import duckdb
+
+    con = duckdb.connect()
+    for name in ("documents", "embeddings"):
+        con.execute(f"create view {name} as select * from '{small_dir}/{name}.parquet'")
+    assert set(queries.SQL) <= set(queries.QUERIES)
+    for name, sql in queries.SQL.items():
+        got = queries.QUERIES[name](spark, small_dir)
+        cursor = con.execute(sql)
+        columns = [d[0] for d in cursor.description]
+        assert sorted(columns) == sorted(got.columns)
+        assert sorted(map(tuple, got.select(columns).collect())) == sorted(cursor.fetchall())
