@@ -220,6 +220,39 @@ def _names(text: np.ndarray, leftmost: np.ndarray, ordered: np.ndarray) -> np.nd
     return names
 
 
+def _doubled(names: np.ndarray, depth: int) -> np.ndarray:
+    """Ranks of the suffixes of a string of names; a name stands for two bytes or more, and ``depth`` bytes count.
+
+    Equal suffixes share the place of the first of them, so that a round sorts only those not yet told apart.
+    """
+    m = len(names)
+    order = np.argsort(names, kind="stable")
+    rows, covered = order, 1
+    sorted_names = names[order]
+    heads = np.flatnonzero(np.r_[True, sorted_names[1:] != sorted_names[:-1]])
+    rank = np.empty(m, np.int64)
+    rank[order] = np.repeat(heads, np.diff(np.r_[heads, m]))
+    while 2 * covered < depth:
+        # Of the rows sorted so far, those whose place is shared.
+        places = rank[rows]
+        shared = np.r_[False, places[1:] == places[:-1]]
+        rows = rows[shared | np.r_[shared[1:], False]]
+        if not len(rows):
+            break
+        following = rows + covered
+        pair = rank[rows] << 32 | np.where(following < m, rank[np.minimum(following, m - 1)] + 1, 0)
+        order = np.argsort(pair, kind="stable")
+        rows, pair = rows[order], pair[order]
+        base = pair >> 32
+        new = np.r_[True, pair[1:] != pair[:-1]]
+        first_of_base = np.flatnonzero(np.r_[True, base[1:] != base[:-1]])
+        at = np.arange(len(rows)) - np.repeat(first_of_base, np.diff(np.r_[first_of_base, len(rows)]))
+        heads = np.flatnonzero(new)
+        rank[rows] = base + np.repeat(at[heads], np.diff(np.r_[heads, len(rows)]))
+        covered *= 2
+    return rank
+
+
 def suffixes(text: np.ndarray, depth: int, memory: int = MEMORY) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All suffixes of ``text`` in the order of their first ``depth`` bytes (at most 254), largest first.
 
@@ -239,15 +272,7 @@ def suffixes(text: np.ndarray, depth: int, memory: int = MEMORY) -> Iterator[tup
         is_leftmost[leftmost] = True
         found = [block[is_leftmost[block]] for block, _ in induce(text, small, rough, None, depth, memory)]
         rank = _names(text, leftmost, np.concatenate(found)[::-1])
-        covered, m = 1, len(rank)
-        # A name stands for two bytes or more.
-        while 2 * covered < depth and rank.max() < m:
-            following = np.r_[rank[covered:], np.zeros(min(covered, m), np.int64)]
-            pair = rank << 32 | following[:m]
-            order = np.argsort(pair, kind="stable")
-            new = np.empty(m, np.int64)
-            new[order] = np.cumsum(np.r_[True, np.diff(pair[order]) != 0])
-            rank, covered = new, 2 * covered
+        rank = _doubled(rank, depth)
         leftmost = leftmost[np.argsort(rank, kind="stable")]
         prefixes[1:] = common_prefixes(text, leftmost[1:], leftmost[:-1], depth)
     yield from induce(text, small, leftmost, prefixes, depth, memory)

@@ -366,17 +366,26 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
             order = order[np.r_[True, ~same]]
             joined = b"".join(parts)
             meta, at = meta[order], at[order]
-            joined = b"".join([joined[i:i + n] for i, n in zip(at.tolist(), meta["size"].tolist())])
-            starts = np.flatnonzero(_marked(meta, joined, length))
-            if not len(starts):
-                return
-            base = np.cumsum(meta["size"]) - meta["size"]
+            texts = [joined[i:i + n] for i, n in zip(at.tolist(), meta["size"].tolist())]
+            # Copies of a piece are all gone but the first one, whose strings are sorted for all.
+            first: dict[bytes, int] = {}
+            stays = np.array([first.setdefault(t, i) == i for i, t in enumerate(texts)])
+            copies, sorted_ = meta[~stays], meta[stays]
+            starts = np.flatnonzero(_marked(sorted_, b"".join(first), length))
+            base = np.cumsum(sorted_["size"]) - sorted_["size"]
             owner = np.searchsorted(base, starts, side="right") - 1
-            begin = starts - base[owner] + meta["start"][owner]
-            new = np.flatnonzero(np.r_[True, (meta["id"][owner][1:] != meta["id"][owner][:-1])
-                                       | (meta["key"][owner][1:] != meta["key"][owner][:-1])])
-            spans = [_merged(np.stack([x, x + length], axis=1)).tobytes() for x in np.split(begin, new[1:])]
-            yield batch(_SPANS, id_key=meta["id"][owner[new]], text_key=meta["key"][owner[new]], spans=spans)
+            begin = starts - base[owner] + sorted_["start"][owner]
+            ids = np.concatenate([copies["id"], sorted_["id"][owner]])
+            keys = np.concatenate([copies["key"], sorted_["key"][owner]])
+            if not len(ids):
+                return
+            spans = np.stack([np.concatenate([copies["start"], begin]),
+                              np.concatenate([copies["start"] + copies["size"], begin + length])], axis=1)
+            order = np.lexsort((keys, ids))
+            ids, keys, spans = ids[order], keys[order], spans[order]
+            new = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])])
+            yield batch(_SPANS, id_key=ids[new], text_key=keys[new],
+                        spans=[_merged(x).tobytes() for x in np.split(spans, new[1:])])
 
         for b in batches:
             for k, m, t in zip(*(b.column(c).to_pylist() for c in ("shard", "meta", "texts"))):
