@@ -38,8 +38,14 @@ def smoking_state(ever: Column, now: Column) -> Column:
     )
 
 
+def lab(c: Column) -> Column:
+    """Optional laboratory value: NaN counts as absent."""
+    return F.when(~F.isnan(c), c)
+
+
 def glycemic_class(diagnosis: Column, hba1c: Column, glucose: Column) -> Column:
     """High / Moderate / Low, NULL when there is no evidence either way."""
+    hba1c, glucose = lab(hba1c), lab(glucose)
     high = (diagnosis == 1) | (hba1c >= K.HBA1C_DIABETIC) | (glucose >= K.GLUCOSE_DIABETIC)
     moderate = (
         (diagnosis == 3)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from riskcohort import constants as K
-from riskcohort.functions.recode import is_true
+from riskcohort.functions.recode import is_true, lab
 from riskcohort.functions.text import percent
 
 RULES = ("diagnostic_lab", "high_probability", "prediabetic_lab", "low_high_fallback")
@@ -25,16 +25,13 @@ NEXT_STEP = {
 }
 
 
-def lab(c: Column) -> Column:
-    """Optional laboratory value: NaN counts as absent."""
-    return F.when(~F.isnan(c), c)
-
-
 def diagnostic_lab(hba1c: Column, glucose: Column) -> Column:
+    hba1c, glucose = lab(hba1c), lab(glucose)
     return is_true((hba1c >= K.HBA1C_DIABETIC) | (glucose >= K.GLUCOSE_DIABETIC))
 
 
 def prediabetic_lab(hba1c: Column, glucose: Column) -> Column:
+    hba1c, glucose = lab(hba1c), lab(glucose)
     return is_true(
         hba1c.between(*K.HBA1C_PREDIABETIC) | glucose.between(*K.GLUCOSE_PREDIABETIC)
     )
@@ -42,11 +39,10 @@ def prediabetic_lab(hba1c: Column, glucose: Column) -> Column:
 
 def rule_fired(p_high: Column, hba1c: Column, glucose: Column) -> Column:
     """Name of the first rule that matches."""
-    h, g = lab(hba1c), lab(glucose)
     return (
-        F.when(diagnostic_lab(h, g), RULES[0])
+        F.when(diagnostic_lab(hba1c, glucose), RULES[0])
         .when(is_true(p_high >= K.HIGH_PROBABILITY), RULES[1])
-        .when(prediabetic_lab(h, g), RULES[2])
+        .when(prediabetic_lab(hba1c, glucose), RULES[2])
         .otherwise(RULES[3])
     )
 
@@ -75,6 +71,7 @@ def reasons(rule: Column, hba1c: Column, glucose: Column) -> Column:
     def compact(*codes: Column) -> Column:
         return F.filter(F.array(*codes), lambda c: c.isNotNull())
 
+    hba1c, glucose = lab(hba1c), lab(glucose)
     diabetic = compact(
         F.when(hba1c >= K.HBA1C_DIABETIC, "hba1c.diabetic"),
         F.when(glucose >= K.GLUCOSE_DIABETIC, "glucose.diabetic"),
@@ -94,6 +91,7 @@ def reasons(rule: Column, hba1c: Column, glucose: Column) -> Column:
 
 
 def _finding(value: Column, low: float, high: float, diabetic: float) -> Column:
+    value = lab(value)
     return (
         F.when(value.isNull(), "absent")
         .when(value <= 0, "invalid")

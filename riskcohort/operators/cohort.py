@@ -45,8 +45,11 @@ def join_modules(modules: Modules, min_age: float = K.ADULT_MIN_AGE,
     return out
 
 
-def derive(joined: DataFrame) -> DataFrame:
-    """Eight predictors, diagnosis, label, and lab availability for the reports."""
+def derive(joined: DataFrame, with_labs: bool = False) -> DataFrame:
+    """Eight predictors, diagnosis, label, and lab availability for the reports.
+
+    ``with_labs`` keeps the laboratory values beside them, for replays of rules; never in a dataset.
+    """
     c = F.col
     return joined.select(
         c("SEQN"), c("cycle"),
@@ -60,8 +63,9 @@ def derive(joined: DataFrame) -> DataFrame:
         recode.smoking_state(c("SMQ020"), c("SMQ040")).alias("smoking_status"),
         c("DIQ010").alias("diq010"),
         recode.glycemic_class(c("DIQ010"), c("LBXGH"), c("LBXGLU")).alias(K.TARGET),
-        c("LBXGH").isNotNull().alias("has_hba1c"),
-        c("LBXGLU").isNotNull().alias("has_glucose"),
+        recode.lab(c("LBXGH")).isNotNull().alias("has_hba1c"),
+        recode.lab(c("LBXGLU")).isNotNull().alias("has_glucose"),
+        *([recode.lab(c(n)).alias(n) for n in ("LBXGH", "LBXGLU")] if with_labs else []),
     )
 
 
@@ -70,6 +74,12 @@ def candidate_cohort(modules: Modules, **options) -> DataFrame:
     return derive(join_modules(modules, **options))
 
 
+def labelled_with_labs(modules: Modules, **options) -> DataFrame:
+    """Dataset columns and both laboratory values of everybody with a determined label, from one join chain."""
+    rows = derive(join_modules(modules, **options), with_labs=True)
+    return rows.filter(F.col(K.TARGET).isNotNull()).select(*K.DATASET_COLUMNS, "LBXGH", "LBXGLU")
+
+
 def supervised_dataset(cohort: DataFrame, observation: Observation | None = None) -> DataFrame:
     """The twelve dataset columns of everybody with a determined label."""
     if observation is not None:
@@ -172,7 +182,7 @@ def core_nulls(df: DataFrame, columns) -> DataFrame:
 
 def assert_no_violations(violations: DataFrame, count: str) -> None:
     """Raise when a one-pass check reports anything; the table has one row per check."""
-    broken = violations.filter(F.col(count) > 0).limit(50).collect()
+    broken = violations.filter(F.col(count) > 0).collect()
     if broken:
         raise ValueError(f"checks failed: {[r.asDict() for r in broken]}")
 

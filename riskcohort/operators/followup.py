@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import DenseMatrix
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -44,9 +43,14 @@ class MonotoneRisk:
         self.cuts, self.model = cuts, model
 
     def score(self, df: DataFrame, name: str = "score") -> DataFrame:
-        stepped = _assembled(df, self.cuts)
-        out = self.model.transform(stepped)
-        return out.withColumn(name, vector_to_array("probability")[1]).select(*df.columns, name)
+        """Add the risk: a sum of the weights of the steps that a row has reached, as one expression."""
+        weights = iter(self.model.coefficients.toArray().tolist())
+        margin = F.lit(float(self.model.intercept))
+        for column, cuts in [(c, self.cuts[c]) for c in MONOTONE]:
+            for cut in cuts:
+                margin = margin + F.when(F.col(column) >= cut, next(weights)).otherwise(0.0)
+        margin = margin + F.col("male").cast("double") * next(weights)
+        return df.withColumn(name, 1.0 / (1.0 + F.exp(-margin)))
 
 
 def _assembled(df: DataFrame, cuts: dict[str, list[float]]) -> DataFrame:
@@ -111,32 +115,56 @@ def calibration(df: DataFrame, y: str = "y", score: str = "oof_risk_3y", w: str
     )
 
 
-def _poisson(keys: np.ndarray, counts: np.ndarray, repeats: int) -> np.ndarray:
-    """Replicate multiplicities per reduced row, from a generator seeded by the row itself."""
-    out = np.empty((len(keys), repeats), dtype=np.float64)
-    for i, (key, n) in enumerate(zip(keys, counts)):
-        out[i] = np.random.Generator(np.random.Philox(key=int(key) & (2**64 - 1))).poisson(n, repeats)
-    return out
-
+def _poisson_draws(repeats: int) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Replicate multiplicities of rows (key, count), a block at once; a row's draws depend on its key alone.
 
-def _replicate_part(repeats: int):
+    The inner functions carry all they need, so that executors do not need this package for them.
+    """
+    def uniform(keys: np.ndarray) -> np.ndarray:
+        """One number in (0, 1) per row and replicate, a mix of the bits of the row's key and the replicate."""
+        x = keys.astype(np.int64).view(np.uint64)[:, None] + np.arange(1, repeats + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) / 2.0**53 + 2.0**-54
+
+    def poisson(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Poisson draws by inversion; means above 30 by their normal limit."""
+        u, n = uniform(keys), counts.astype(np.float64)[:, None]
+        out = np.zeros_like(u)
+        term = np.exp(-n)
+        reached = term.copy()
+        small = n <= 30
+        for k in range(1, 200):
+            more = small & (u > reached)
+            if not more.any():
+                break
+            out += more
+            term = term * n / k
+            reached = reached + term
+        if not small.all():
+            # Box-Muller over two independent streams.
+            radius = np.sqrt(-2 * np.log(u))
+            angle = 2 * np.pi * uniform(~keys.astype(np.int64))
+            out = np.where(small, out, np.maximum(0, np.rint(n + np.sqrt(n) * radius * np.cos(angle))))
+        return out
+
+    return poisson
+
+
+def _replicate_part(repeats: int, block: int = 2048):
     """Per sorted partition: replicate totals and the within-partition part of the AUC.
 
-    Rows stream through in score order, so the state is four vectors of ``repeats`` numbers.
+    Rows stream through in score order, so the state is a few vectors of ``repeats`` numbers.
     """
+    poisson = _poisson_draws(repeats)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pos, neg, pairs, loss, weight = (np.zeros(repeats) for _ in range(5))
-        tie_score, tie_pos, tie_neg, first = None, np.zeros(repeats), np.zeros(repeats), None
-
-        def close_tie():
-            nonlocal pos, neg, pairs
-            pairs += tie_pos * (neg + tie_neg / 2.0)
-            pos, neg = pos + tie_pos, neg + tie_neg
-
+        last, first, tie_pos, tie_neg = None, None, np.zeros(repeats), np.zeros(repeats)
         for batch in batches:
-            for start in range(0, len(batch), 2048):
-                part = batch.iloc[start:start + 2048]
-                drawn = _poisson(part["key"].to_numpy(), part["n"].to_numpy(), repeats)
+            for start in range(0, len(batch), block):
+                part = batch.iloc[start:start + block]
+                drawn = poisson(part["key"].to_numpy(), part["n"].to_numpy())
                 scores, y = part["score"].to_numpy(), part["y"].to_numpy()
                 mass = drawn * part["w"].to_numpy()[:, None]
                 loss += (mass * ((scores - y) ** 2)[:, None]).sum(axis=0)
@@ -144,19 +172,23 @@ def _replicate_part(repeats: int):
                 edges = np.flatnonzero(np.r_[True, scores[1:] != scores[:-1]])
                 tp = np.add.reduceat(mass * y[:, None], edges, axis=0)
                 tn = np.add.reduceat(mass * (1 - y)[:, None], edges, axis=0)
-                for j, s in enumerate(scores[edges]):
-                    if first is None:
-                        first = s
-                    if tie_score is not None and s != tie_score:
-                        close_tie()
-                        tie_pos, tie_neg = np.zeros(repeats), np.zeros(repeats)
-                    tie_score = s
-                    tie_pos, tie_neg = tie_pos + tp[j], tie_neg + tn[j]
+                if first is None:
+                    first, last = scores[0], scores[0]
+                if scores[0] == last:  # the open tie goes on
+                    tp[0] += tie_pos
+                    tn[0] += tie_neg
+                else:
+                    tp, tn = np.vstack([tie_pos, tp]), np.vstack([tie_neg, tn])
+                # All but the last score are complete.
+                below = neg + np.cumsum(tn[:-1], axis=0) - tn[:-1]
+                pairs += (tp[:-1] * (below + tn[:-1] / 2.0)).sum(axis=0)
+                pos, neg = pos + tp[:-1].sum(axis=0), neg + tn[:-1].sum(axis=0)
+                last, tie_pos, tie_neg = scores[-1], tp[-1], tn[-1]
         if first is None:
             return
-        close_tie()
+        pairs += tie_pos * (neg + tie_neg / 2.0)
         yield pd.DataFrame({
-            "replicate": np.arange(repeats), "first": first, "pos": pos, "neg": neg,
+            "replicate": np.arange(repeats), "first": first, "pos": pos + tie_pos, "neg": neg + tie_neg,
             "pairs": pairs, "loss": loss, "weight": weight,
         })
 

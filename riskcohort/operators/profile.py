@@ -154,20 +154,37 @@ def fill_values(train: DataFrame) -> DataFrame:
 
 
 def construction_report(cohort: DataFrame) -> DataFrame:
-    """Section / item / n / share: the whole construction report as one table."""
-    labelled = cohort.filter(F.col(K.TARGET).isNotNull())
-
-    def section(name: str, df: DataFrame, item: str, n: str = "n", share_col: str | None = "share") -> DataFrame:
-        return df.select(
-            F.lit(name).alias("section"), F.col(item).alias("item"), F.col(n).alias("n"),
-            (F.col(share_col) if share_col else F.lit(None).cast("double")).alias("share"),
-        )
-
-    gaps = missingness_before_after(cohort)
-    return (
-        section("classes", class_distribution(labelled), "label")
-        .unionByName(section("labs", lab_availability(cohort), "labs"))
-        .unionByName(section("cycles", cycle_counts(labelled), "cycle", share_col=None))
-        .unionByName(section("missing_before", gaps, "column", "missing_before", "share_before"))
-        .unionByName(section("missing_after", gaps, "column", "missing_after", "share_after"))
+    """Section / item / n / share: the whole construction report as one table.
+
+    One pass: everything is counted by cycle, and every section is read off that table of a few rows.
+    """
+    labelled, h, g = F.col(K.TARGET).isNotNull(), F.col("has_hba1c"), F.col("has_glucose")
+    masks = {
+        **{f"classes.{c}": F.col(K.TARGET) == c for c in K.CLASS_LABELS},
+        "labs.hba1c": h, "labs.glucose": g, "labs.both": h & g, "labs.neither": ~h & ~g,
+        **{f"missing_before.{c}": F.col(c).isNull() for c in K.PREDICTORS},
+        **{f"missing_after.{c}": F.col(c).isNull() & labelled for c in K.PREDICTORS},
+    }
+    by_cycle = cohort.groupBy("cycle").agg(
+        F.count(F.lit(1)).alias("all"), F.count_if(labelled).alias("labelled"),
+        *[F.count_if(mask).alias(name) for name, mask in masks.items()],
+    )
+    total = by_cycle.agg(
+        F.collect_list(F.struct("cycle", "labelled")).alias("cycles"),  # one per cycle
+        *[F.coalesce(F.sum(f"`{n}`"), F.lit(0)).alias(n) for n in ("all", "labelled", *masks)],
+    )
+    whole = {"classes": "labelled", "labs": "all", "missing_before": "all", "missing_after": "labelled"}
+
+    def entry(section: str, item: Column, n: Column, part: Column) -> Column:
+        return F.struct(F.lit(section).alias("section"), item.alias("item"), n.alias("n"), part.alias("share"))
+
+    counted = []
+    for name in masks:
+        section, item = name.split(".")
+        n = F.col(f"`{name}`")
+        counted.append(entry(section, F.lit(item), n, share(n, F.col(whole[section]))))
+    cycles = F.transform(
+        F.filter("cycles", lambda c: c["labelled"] > 0),
+        lambda c: entry("cycles", c["cycle"], c["labelled"], F.lit(None).cast("double")),
     )
+    return total.select(F.explode(F.concat(F.array(*counted), cycles)).alias("e")).select("e.*")

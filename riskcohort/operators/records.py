@@ -38,9 +38,9 @@ def current_records(events: DataFrame, key: str = "assessment_id") -> DataFrame:
     return kept.filter(newer).drop("action", "_clear")
 
 
-def newest_first(records: DataFrame, limit: int) -> DataFrame:
-    """The list preview."""
-    return records.orderBy(F.desc("ts"), F.desc("event_id")).limit(limit)
+def newest_first(records: DataFrame) -> DataFrame:
+    """All records in the order of the list."""
+    return records.orderBy(F.desc("ts"), F.desc("event_id"))
 
 
 def results(events: DataFrame) -> DataFrame:

@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from riskcohort import constants as K
-from riskcohort.functions.recode import is_true
+from riskcohort.functions.recode import is_true, lab
 from riskcohort.functions.rules import diagnostic_lab, prediabetic_lab
 from riskcohort.operators.cohort import KEY, stacked
 
 
 def labs_outer_join(ghb: DataFrame, glu: DataFrame) -> DataFrame:
-    """Everybody with either laboratory value."""
-    return ghb.select(*KEY, "LBXGH").join(glu.select(*KEY, "LBXGLU"), KEY, "full_outer")
+    """Everybody with a row in either laboratory table; NaN values count as absent."""
+    left, right = (df.select(*KEY, lab(F.col(c)).alias(c)) for df, c in ((ghb, "LBXGH"), (glu, "LBXGLU")))
+    return left.join(right, KEY, "full_outer")
 
 
 def one_to_one_violations(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
@@ -31,7 +32,7 @@ def with_labs(held_out: DataFrame, labs: DataFrame) -> DataFrame:
 
 def replay_masks(df: DataFrame) -> DataFrame:
     """Boolean columns describing what the cascade would do and why."""
-    h, g = F.col("LBXGH"), F.col("LBXGLU")
+    h, g = lab(F.col("LBXGH")), lab(F.col("LBXGLU"))
     low_h, low_g = K.HBA1C_PREDIABETIC[0], K.GLUCOSE_PREDIABETIC[0]
     p_high, p_low = F.col("p_high"), F.col("p_low")
     present = h.isNotNull() | g.isNotNull()

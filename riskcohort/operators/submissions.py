@@ -2,7 +2,8 @@
 
 A submission is a row with a JSON ``body``. It is read once as a map of raw value texts, so an
 absent key and a JSON null stay distinct; the kind of a value is looked up in a VARIANT only for
-the texts ``true`` and ``false``, where a boolean and a string differ. Each endpoint is an ordered
+the texts ``true`` and ``false``, where a boolean and a string differ. Of a repeated key the last
+value counts. Each endpoint is an ordered
 list of nullable error codes; the first one that is not NULL is the row's error.
 """
 
@@ -32,10 +33,8 @@ FUTURE_FIELDS = {
     "glucose": ("fasting_glucose_mgdl", "fasting_glucose"),
 }
 NUMERIC_FIELDS = ("age", "bmi", "race_ethnicity", "hba1c", "glucose")
-IDENTITY_FIELDS = {
-    "patient_name": ("patient_name", "Patient Name"),
-    "patient_address": ("patient_address",),
-}
+IDENTITY_FIELDS = {"patient_name": ("patient_name",), "patient_address": ("patient_address",)}
+FUTURE_IDENTITY_FIELDS = {**IDENTITY_FIELDS, "patient_name": ("patient_name", "Patient Name")}
 
 
 def parse_body(body: Column) -> Column:
@@ -50,20 +49,22 @@ def present(values: Column, names: tuple[str, ...]) -> Column:
     return is_true(out)
 
 
+def _last(values: Column, name: str) -> Column:
+    """Value of a key; of a key that is repeated, the last one."""
+    own = F.filter(F.map_entries(values), lambda e: e["key"] == name)
+    return F.try_element_at(own, F.lit(-1))["value"]
+
+
 def resolve(values: Column, names: tuple[str, ...]) -> Column:
     """Value of the first key that is present, even when that value is JSON null."""
-    out = F.try_element_at(values, F.lit(names[-1]))
+    out = _last(values, names[-1])
     for name in reversed(names[:-1]):
-        own = F.try_element_at(values, F.lit(name))
-        out = F.when(F.map_contains_key(values, name), own).otherwise(out)
+        out = F.when(F.map_contains_key(values, name), _last(values, name)).otherwise(out)
     return out
 
 
 def _is_boolean(body: Column, names: tuple[str, ...]) -> Column:
-    value = F.lit(None).cast("variant")
-    for name in reversed(names):
-        own = F.variant_get(F.try_parse_json(body), f"$['{name}']", "variant")
-        value = F.when(own.isNotNull(), own).otherwise(value)
+    value = resolve(F.from_json(body, "map<string,variant>"), names)
     return is_true(F.schema_of_variant(value) == "BOOLEAN")
 
 
@@ -248,15 +249,15 @@ def typed_columns(labs: bool) -> dict[str, Column]:
     return out
 
 
-def _validated(df: DataFrame, fields: dict, error: Column, labs: bool) -> DataFrame:
+def _validated(df: DataFrame, fields: dict, error: Column, labs: bool, who: dict = IDENTITY_FIELDS) -> DataFrame:
     """``df`` without its body, plus ``error_code`` and typed values (NULL when rejected)."""
     identity = [c for c in df.columns if c != "body"]
-    parsed = read_fields(df, {**fields, **IDENTITY_FIELDS})
+    parsed = read_fields(df, {**fields, **who})
     parsed = parsed.withColumn("error_code", F.when(~F.col("_object"), "body.object").otherwise(error))
     passed = F.col("error_code").isNull()
     typed = [F.when(passed, c).alias(n) for n, c in typed_columns(labs).items()]
     person = F.struct(*[
-        F.coalesce(F.col(f"{n}_text"), F.lit(K.NOT_PROVIDED)).alias(n) for n in IDENTITY_FIELDS
+        F.coalesce(F.col(f"{n}_text"), F.lit(K.NOT_PROVIDED)).alias(n) for n in who
     ]).alias("person")
     return evaluated_once(parsed.select(*identity, "error_code", *typed, person))
 
@@ -270,7 +271,7 @@ def validate_assessment(df: DataFrame) -> DataFrame:
 
 
 def validate_future_risk(df: DataFrame) -> DataFrame:
-    return _validated(df, FUTURE_FIELDS, future_risk_error(), labs=True)
+    return _validated(df, FUTURE_FIELDS, future_risk_error(), labs=True, who=FUTURE_IDENTITY_FIELDS)
 
 
 def accepted(df: DataFrame) -> DataFrame:

@@ -57,10 +57,12 @@ def ipcw_weights(cohort: DataFrame, horizon: float = K.HORIZON_YEARS, floor: flo
     """
     labelled = horizon_labels(cohort, horizon=horizon)
     curve = censoring_curve(cohort) if curve is None else curve
-    known = labelled.filter("known").drop("known").withColumn(
-        "_at", F.when(F.col("y") == 1, F.col("time_years")).otherwise(F.lit(horizon))
-    )
-    weighted = survival_at(known, "_at", curve)
-    return weighted.withColumn(
+    known = labelled.filter("known").drop("known")
+    # Everybody without an event looks up the same point: once, instead of as one hot join key.
+    cases = survival_at(known.filter("y = 1"), "time_years", curve)
+    end = curve.filter(F.col("t") < horizon).agg(
+        F.coalesce(F.max_by("survival", "t"), F.lit(1.0)).alias("survival"))
+    rest = known.filter("y = 0").join(F.broadcast(end.withColumn("y", F.lit(0))), "y")  # one row
+    return cases.unionByName(rest).withColumn(
         "ipcw_weight", 1.0 / F.greatest(F.col("survival"), F.lit(floor))
-    ).drop("_at", "survival")
+    ).drop("survival")

@@ -8,6 +8,7 @@ from riskcohort import constants as K
 from riskcohort.functions import recode, rules, text
 from riskcohort.operators import assessment, replay, split, submissions
 from riskcohort.operators.scoring import scorecard, scored_export, model_features
+from riskcohort.operators.cohort import labelled_with_labs
 from riskcohort.plans import fixtures
 from riskcohort.plans.cohort_queries import dataset, stored_dataset
 from riskcohort.plans.registry import EXTRA, query, rounded
@@ -160,10 +161,8 @@ EXTRA.update({
 # --- DataFrames the queries share --------------------------------------------------------------
 def ruled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled people, scored, with both labs and the cascade's answer."""
-    f = fixtures.fixture
-    labs = replay.labs_outer_join(f(spark, sf_dir, "ghb"), f(spark, sf_dir, "glu"))
-    people = scorecard(dataset(spark, sf_dir)).withColumn("id", F.col("SEQN"))
-    return assessment.apply_rules(replay.with_labs(people, labs), "LBXGH", "LBXGLU")
+    people = scorecard(labelled_with_labs(fixtures.modules(spark, sf_dir))).withColumn("id", F.col("SEQN"))
+    return assessment.apply_rules(people, "LBXGH", "LBXGLU")
 
 
 def assessed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -378,32 +377,69 @@ def assessment_results(spark, sf_dir):
     )
 
 
-@query("assessment_responses")
+@query("assessment_responses", (
+    "select submission_id, tier as final_risk_level, tier, rule as rule_triggered, p_high as \"High\", p_low as \"Low\", "
+    "tier <> 'High' and not coalesce(hba1c >= 6.5e0, false) and not coalesce(fasting_glucose >= 126, false) "
+    "and coalesce(fasting_glucose > 0, false) as stage3_eligible, fasting_glucose is not null as has_fasting_glucose, "
+    "raw_name as patient from assessed"
+))
 def assessment_responses(spark, sf_dir):
-    """Whole JSON answers, labs shown with units."""
+    """The JSON answers, read back into columns."""
     out = assessed(spark, sf_dir)
-    return out.select("submission_id", assessment.assessment_response(out).alias("response"))
-
-
-@query("future_risk_responses")
+    answer = out.select("submission_id", assessment.assessment_response(out).alias("response"))
+    read = F.from_json("response", (
+        "final_risk_level string, tier string, rule_triggered string, profile_probability struct<High: double, Low: double>, "
+        "stage3_eligible boolean, has_fasting_glucose boolean, person map<string, string>"))
+    return answer.select("submission_id", read.alias("r")).select(
+        "submission_id", "r.final_risk_level", "r.tier", "r.rule_triggered", "r.profile_probability.High",
+        "r.profile_probability.Low", "r.stage3_eligible", "r.has_fasting_glucose", F.col("r.person")["Patient Name"].alias("patient"))
+
+
+@query("future_risk_responses", (
+    "select submission_id, case when p3 < 0.01e0 then 'lower' when p3 < 0.05e0 then 'increased' else 'elevated' end as risk_category, "
+    "case when p3 < 0.01e0 then 'repeat_screening' when p3 < 0.05e0 then 'prevention_plan' else 'clinical_review' end as next_step, "
+    "p3 as risk_probability, p3 as probability, case when sparse then 'caution' else 'supported' end as reliability, "
+    "case sex when 1 then 'Male' else 'Female' end as \"Sex\" from future_risk"
+))
 def future_risk_responses(spark, sf_dir):
+    """The JSON answers, read back into columns."""
     out = future(spark, sf_dir).filter("error_code is null")
-    return out.select("submission_id", assessment.future_risk_response().alias("response"))
+    answer = out.select("submission_id", assessment.future_risk_response().alias("response"))
+    read = F.from_json("response", (
+        "risk_category string, next_step string, risk_probability double, reliability string, "
+        "time_horizons map<string, struct<probability: double>>, features_evaluated struct<Sex: string>"))
+    return answer.select("submission_id", read.alias("r")).select(
+        "submission_id", "r.risk_category", "r.next_step", "r.risk_probability",
+        F.col("r.time_horizons")["3_year"]["probability"].alias("probability"), "r.reliability", "r.features_evaluated.Sex")
+
+
+_RACE_SHOWN = (
+    "case race_ethnicity when 1 then 'Mexican American' when 2 then 'Other Hispanic' when 3 then 'Non-Hispanic White' "
+    "when 4 then 'Non-Hispanic Black' when 6 then 'Non-Hispanic Asian' when 7 then 'Other / Multi-racial' "
+    "else concat('Code ', coalesce(cast(cast(race_ethnicity as int) as varchar), '?')) end"
+)
+_YES_NO_SHOWN = "case {0} when 1 then 'Yes' when 0 then 'No' else 'Unknown' end"
 
 
 @query("shown_details", (
     "select submission_id, 'Patient Name' as label, raw_name as value from assessed union all "
     "select submission_id, 'Patient Address', 'Not provided' from assessed union all "
     "select submission_id, 'Sex', case sex when 1 then 'Male' else 'Female' end from assessed union all "
+    "select submission_id, 'Age', cast(age as varchar) from assessed union all "
+    "select submission_id, 'BMI', cast(bmi as varchar) from assessed union all "
     "select submission_id, 'HbA1c', concat(cast(hba1c as varchar), '%') from assessed where hba1c is not null union all "
-    "select submission_id, 'Fasting Glucose', concat(cast(fasting_glucose as varchar), ' mg/dL') from assessed where fasting_glucose is not null"
+    "select submission_id, 'Fasting Glucose', concat(cast(fasting_glucose as varchar), ' mg/dL') from assessed where fasting_glucose is not null union all "
+    "select submission_id, 'Race/Ethnicity', " + _RACE_SHOWN + " from assessed union all "
+    "select submission_id, 'Family History', " + _YES_NO_SHOWN.format("family_history") + " from assessed union all "
+    "select submission_id, 'Hypertension', " + _YES_NO_SHOWN.format("hypertension") + " from assessed union all "
+    "select submission_id, 'Physical Activity', case when physical_activity = 1 then 'Active' else 'Inactive' end from assessed union all "
+    "select submission_id, 'Smoking Status', case when smoking_status = 0 then 'Never' when smoking_status = 1 then 'Former' else 'Current' end from assessed"
 ))
 def shown_details(spark, sf_dir):
     """Detail rows as displayed: absent labs are dropped, other absent values stay."""
     out = assessed(spark, sf_dir)
     details = text.shown_details(submissions.person_details(out))
-    rows = out.select("submission_id", F.explode(details).alias("label", "value"))
-    return rows.filter(F.col("label").isin("Patient Name", "Patient Address", "Sex", "HbA1c", "Fasting Glucose"))
+    return out.select("submission_id", F.explode(details).alias("label", "value"))
 
 
 @query("escaped_markup", (

@@ -294,7 +294,7 @@ def display_labels(spark, sf_dir):
 def unit_conversion(spark, sf_dir):
     glu = fixtures.fixture(spark, sf_dir, "glu")
     return rounded(glu.select(
-        "SEQN", "cycle", F.col("LBXGLU").alias("mg_dl"), recode.mgdl_to_mmoll(F.col("LBXGLU")).alias("mmol_l")
+        "SEQN", "cycle", recode.lab(F.col("LBXGLU")).alias("mg_dl"), recode.mgdl_to_mmoll(recode.lab(F.col("LBXGLU"))).alias("mmol_l")
     ))
 
 

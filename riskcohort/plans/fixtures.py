@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from riskcohort.sources.tables import conform_module
+
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -64,14 +66,15 @@ FIXTURES = {
     ),
     "ghb": (
         f"select {CYCLE} as cycle, l_orderkey as SEQN, "
-        "case when l_orderkey % 47 = 0 then null "
-        "else 4.5e0 + (cast(qty as bigint) % 30) / 10e0 end as LBXGH "
+        "case when l_orderkey % 47 = 0 then null when l_orderkey % 53 = 0 then cast('NaN' as double) "
+        "when l_orderkey % 71 = 0 then 6.45e0 else 4.5e0 + (cast(qty as bigint) % 30) / 10e0 end as LBXGH "
         "from (select l_orderkey, sum(l_quantity) as qty from {lineitem} group by l_orderkey) q "
         "join {orders} on l_orderkey = o_orderkey"
     ),
     "glu": (
         f"select {CYCLE} as cycle, l_orderkey as SEQN, "
-        "cast(70 + cast(floor(price) as bigint) % 70 as double) as LBXGLU "
+        "case when l_orderkey % 59 = 0 then cast('NaN' as double) "
+        "else cast(70 + cast(floor(price) as bigint) % 70 as double) end as LBXGLU "
         "from (select l_orderkey, max(l_extendedprice) as price from {lineitem} group by l_orderkey) q "
         "join {orders} on l_orderkey = o_orderkey "
         "where o_orderpriority in ('1-URGENT', '2-HIGH')"
@@ -158,7 +161,7 @@ def fixture(spark: SparkSession, sf_dir: str, name: str, spread_scan: bool = Fal
 
 def modules(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     names = ("demo", "bmx", "diq", "mcq", "bpq", "paq", "smq", "ghb", "glu")
-    return {n: fixture(spark, sf_dir, n) for n in names}
+    return {n: conform_module(fixture(spark, sf_dir, n), n) for n in names}
 
 
 def submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -209,5 +212,14 @@ def as_ctes(bodies: dict[str, str], query: str) -> str:
     return ("with " + ",\n".join(parts) + "\n" if parts else "") + query
 
 
+# Laboratory columns, in which NaN means absent; DuckDB would order it above all numbers.
+LAB_COLUMNS = {"ghb": "LBXGH", "glu": "LBXGLU"}
+
+
 def duckdb_fixtures() -> dict[str, str]:
-    return {n: s.format(**{t: t for t in TABLES}) for n, s in FIXTURES.items()}
+    """Fixture bodies for the oracles, with absent laboratory values as NULL."""
+    out = {n: s.format(**{t: t for t in TABLES}) for n, s in FIXTURES.items()}
+    for name, column in LAB_COLUMNS.items():
+        out[name] = (f"select cycle, SEQN, case when isnan({column}) then null else {column} end as {column} "
+                     f"from ({out[name]}) raw_{name}_rows")
+    return out

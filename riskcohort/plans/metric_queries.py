@@ -10,6 +10,7 @@ from riskcohort.operators.scoring import future_risk_score, linear_scorer, reduc
 from riskcohort.operators import scoring
 from riskcohort.plans import fixtures
 from riskcohort.plans.cohort_queries import dataset, stored_dataset
+from riskcohort.session import cut_lineage
 from riskcohort.plans.registry import EXTRA, query, rounded
 from riskcohort.functions import text
 from riskcohort.sources.sinks import metric_report
@@ -22,9 +23,15 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({"id": F.col("SEQN"), "y_true": F.col(K.TARGET)})
 
 
+def folded_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folds of the training part: people of the test part are in none."""
+    held = split.stratified_holdout(stored_dataset(spark, sf_dir))
+    return split.fold_assignment(cut_lineage(held.filter("not is_test").drop("is_test")))
+
+
 def model_rows(spark: SparkSession, sf_dir: str, folds: bool = False) -> DataFrame:
     """One row per person and model."""
-    people = split.fold_assignment(stored_dataset(spark, sf_dir)) if folds else dataset(spark, sf_dir)
+    people = folded_training(spark, sf_dir) if folds else dataset(spark, sf_dir)
     both = reduced_scorecard()(scorecard(people))
     names = ("y_pred", "p_high", "p_low", "p_moderate")
     answers = F.array(
@@ -189,9 +196,14 @@ def subgroup_metrics(spark, sf_dir):
     return rounded(m.subgroup_metrics(weighted(spark, sf_dir)))
 
 
-@query("metric_report")
+@query("metric_report", _SUBGROUPS)
 def report(spark, sf_dir):
-    return metric_report(rounded(m.subgroup_metrics(weighted(spark, sf_dir))))
+    """The JSON report, read back into one row per group."""
+    found = rounded(m.subgroup_metrics(weighted(spark, sf_dir)))
+    row = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in found.schema)
+    read = F.from_json("report", f"validation struct<{row}>, subgroups array<struct<{row}>>")
+    parsed = metric_report(found).select(read.alias("r"))
+    return parsed.select(F.explode(F.concat(F.array("r.validation"), "r.subgroups")).alias("e")).select("e.*")
 
 
 # --- splits -----------------------------------------------------------------------------------------
@@ -202,7 +214,7 @@ def stratified_holdout(spark, sf_dir):
 
 @query("fold_assignment", "select SEQN, diabetes_risk, fold from folds")
 def fold_assignment(spark, sf_dir):
-    return split.fold_assignment(stored_dataset(spark, sf_dir)).select("SEQN", K.TARGET, "fold")
+    return folded_training(spark, sf_dir).select("SEQN", K.TARGET, "fold")
 
 
 EXTRA["fold_f1"] = (
@@ -228,7 +240,17 @@ def fold_mean_std(spark, sf_dir):
     return rounded(m.fold_mean_std(per_fold, ("macro_f1", "macro_recall", "accuracy")))
 
 
-@query("fold_pooled_metrics", _MACRO)
+@query("fold_pooled_metrics", (
+    "select model, round(sum(tp) / sum(tp + fn), 6) as accuracy, round(avg(precision), 6) as macro_precision, "
+    "round(avg(recall), 6) as macro_recall, "
+    "round(avg(case when precision + recall > 0 then 2 * precision * recall / (precision + recall) else 0e0 end), 6) as macro_f1 from ("
+    "select *, case when tp + fp > 0 then tp / (tp + fp) else 0e0 end as precision, "
+    "case when tp + fn > 0 then tp / (tp + fn) else 0e0 end as recall from ("
+    "select m.model, l.label, sum(case when y_true = label and y_pred = label then 1e0 else 0e0 end) as tp, "
+    "sum(case when y_true <> label and y_pred = label then 1e0 else 0e0 end) as fp, "
+    "sum(case when y_true = label and y_pred <> label then 1e0 else 0e0 end) as fn "
+    "from fold_models m, label_names l group by m.model, l.label) c) d group by model"
+))
 def fold_pooled_metrics(spark, sf_dir):
     """Confusion cells summed over folds first, metrics on the sum."""
     cells = m.confusion(model_rows(spark, sf_dir, folds=True), ("model", "fold"))
@@ -418,9 +440,10 @@ def record_dates(spark, sf_dir):
 
 
 @query("newest_records", (
-    "select assessment_id, event_id from current_snapshot order by ts desc, event_id desc limit 20"
+    "select assessment_id, event_id, ts from (select *, row_number() over (partition by owner_id, assessment_id order by ts desc, event_id desc) as rn "
+    "from record_events where action in ('create', 'edit', 'delete')) r where rn = 1 and action <> 'delete' order by ts desc, event_id desc"
 ))
 def newest_records(spark, sf_dir):
-    """The list preview: the newest assessments on top."""
-    current = records.current_assessments(_events(spark, sf_dir))
-    return records.newest_first(current, 20).select("assessment_id", "event_id")
+    """The list: every record that exists, the newest on top."""
+    current = records.current_records(_events(spark, sf_dir))
+    return records.newest_first(current).select("assessment_id", "event_id", "ts")

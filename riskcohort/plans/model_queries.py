@@ -9,7 +9,7 @@ from riskcohort import constants as K
 from riskcohort.operators import features, followup as fu, importance, metrics as m, models, oversample, split, survival
 from riskcohort.operators.scoring import scorecard
 from riskcohort.plans.cohort_queries import stored_dataset
-from riskcohort.plans.metric_queries import followup
+from riskcohort.plans.metric_queries import folded_training, followup
 from riskcohort.plans.registry import query, rounded
 from riskcohort.session import cut_lineage
 
@@ -23,7 +23,7 @@ def _candidates():
 @query("candidate_cv")
 def candidate_cv(spark, sf_dir):
     """Five-fold comparison of forest, boosting and forest with oversampling."""
-    folded = split.fold_assignment(stored_dataset(spark, sf_dir))
+    folded = folded_training(spark, sf_dir)
     return rounded(models.cv_comparison(cut_lineage(models.cross_validated_scores(_candidates(), folded))))
 
 
@@ -44,7 +44,7 @@ def diagnostic_holdout(spark, sf_dir):
 @query("forest_pooled_cv")
 def forest_pooled_cv(spark, sf_dir):
     """Cells summed over folds first."""
-    folded = split.fold_assignment(stored_dataset(spark, sf_dir))
+    folded = folded_training(spark, sf_dir)
     scored = models.cross_validated_scores([models.Candidate("forest", models.forest(TREES))], folded)
     return rounded(models.pooled_comparison(cut_lineage(scored)))
 
@@ -72,7 +72,16 @@ def _training_vectors(spark, sf_dir):
     return features.label_encoder().transform(prepared.transform(train)).select("features", features.LABEL)
 
 
-@query("oversampled_training")
+_TRAIN_CLASSES = (
+    "(select cast(case diabetes_risk when 'High' then 0 when 'Low' then 1 else 2 end as double) as label, count(*) as n, "
+    "max(count(*)) over () as top from holdout where not is_test group by diabetes_risk)"
+)
+
+
+@query("oversampled_training", (
+    f"select label, 'original' as part, n from {_TRAIN_CLASSES} c union all "
+    f"select label, 'synthetic', top - n from {_TRAIN_CLASSES} c where n < top"
+))
 def oversampled_training(spark, sf_dir):
     """Class sizes before and after oversampling the training part."""
     vectors = cut_lineage(_training_vectors(spark, sf_dir))

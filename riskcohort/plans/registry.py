@@ -117,11 +117,15 @@ DERIVED = {
         "cast(ceil(sum(count(*)) over () * 0.2) as double) as target from dataset group by diabetes_risk) q) r"
     ),
     "holdout": "select h.*, h.hash_rank <= q.quota as is_test from hash_order h join quotas q using (diabetes_risk)",
+    "train_order": (
+        "select SEQN, diabetes_risk, row_number() over (partition by diabetes_risk order by hash_rank) as hash_rank, "
+        "count(*) over (partition by diabetes_risk) as label_n from holdout where not is_test"
+    ),
     "folds": (
         "select *, cast(case when hash_rank <= (label_n // 5 + 1) * (label_n % 5) "
         "then (hash_rank - 1) // (label_n // 5 + 1) "
         "else label_n % 5 + (hash_rank - 1 - (label_n // 5 + 1) * (label_n % 5)) // (label_n // 5) end as int) as fold "
-        "from hash_order"
+        "from train_order"
     ),
     "fold_models": "select m.*, f.fold from models m join folds f on m.id = f.SEQN",
     "model_cells": (

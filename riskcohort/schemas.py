@@ -52,6 +52,6 @@ SUBMISSION = _fields(
 )
 
 RECORD_EVENT = _fields(
-    event_id=T.LongType(), ts=T.TimestampType(), assessment_id=T.LongType(),
+    event_id=T.LongType(), ts=T.TimestampType(), assessment_id=T.LongType(), owner_id=T.LongType(),
     action=T.StringType(), snapshot=T.StringType(),
 )

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from riskcohort import schemas
 from riskcohort.operators import records
@@ -33,22 +35,46 @@ def current_list_writer(stream: DataFrame, publish: Callable[[DataFrame, int], N
     )
 
 
-def invalidated_results(stream: DataFrame, lateness: str = "1 hour", window: str = "1 day") -> DataFrame:
-    """Results that an edit with another snapshot overtook within ``window``.
+def last_clears(stream: DataFrame) -> DataFrame:
+    """Running time of the last clear of each owner. Use output mode ``update``.
 
-    Both sides are watermarked, so the join state is bounded by the window.
+    A list drops every record of the owner that is not newer, as ``records.current_records`` does for a table.
     """
-    results = stream.filter("action = 'result'").withWatermark("ts", lateness).select(
-        F.col("event_id").alias("result_id"), "assessment_id",
-        F.col("snapshot").alias("result_snapshot"), F.col("ts").alias("result_ts"),
-    )
-    edits = stream.filter(F.col("action").isin(*records.WRITES)).withWatermark("ts", lateness).select(
-        F.col("assessment_id").alias("edited_id"), F.col("snapshot").alias("edit_snapshot"), F.col("ts").alias("edit_ts")
-    )
-    overtaken = (
-        (F.col("assessment_id") == F.col("edited_id"))
-        & (F.col("edit_snapshot") != F.col("result_snapshot"))
-        & (F.col("edit_ts") >= F.col("result_ts"))
-        & (F.col("edit_ts") <= F.col("result_ts") + F.expr(f"interval {window}"))
-    )
-    return results.join(edits, overtaken).select("result_id", "assessment_id", "result_ts", "edit_ts")
+    cleared = stream.filter(F.col("action") == records.CLEAR)
+    return cleared.groupBy("owner_id").agg(F.max(F.struct("ts", "event_id")).alias("_at")).select("owner_id", "_at.*")
+
+
+_RESULT = "result_id long, assessment_id long, result_ts timestamp, changed_ts timestamp"
+_STATE = "ts timestamp, event_id long, snapshot string, waiting array<struct<id: long, ts: timestamp, snapshot: string>>"
+
+
+def _follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Results of one assessment that are not of its current snapshot; the others wait for the next change."""
+    ts, event_id, snapshot, waiting = state.get if state.exists else (None, None, None, [])
+    waiting = [tuple(w) for w in waiting]
+    for batch in batches:
+        for row in batch.itertuples(index=False):
+            if row.action == "result":
+                waiting.append((int(row.event_id), row.ts, row.snapshot))
+            elif ts is None or (row.ts, row.event_id) > (pd.Timestamp(ts), event_id):
+                ts, event_id = row.ts, int(row.event_id)
+                snapshot = None if row.action == "delete" else row.snapshot
+    known = ts is not None
+    gone = [w for w in waiting if known and w[2] != snapshot]
+    kept = [w for w in waiting if not (known and w[2] != snapshot)]
+    state.update((ts, event_id, snapshot, kept))
+    if gone:
+        yield pd.DataFrame({"result_id": [w[0] for w in gone], "assessment_id": key[0],
+                            "result_ts": [w[1] for w in gone], "changed_ts": ts})
+
+
+def invalidated_results(stream: DataFrame) -> DataFrame:
+    """Results whose snapshot is not, or is no longer, the assessment's: each once, in whatever order they arrive.
+
+    State per assessment: its last write or delete, and the results of its current snapshot. It has no time limit;
+    a result leaves it when it is overtaken.
+    """
+    acts = stream.filter(F.col("action").isin(*records.WRITES, "delete", "result"))
+    rows = acts.select("assessment_id", "event_id", "ts", "action", "snapshot")
+    return rows.groupBy("assessment_id").applyInPandasWithState(
+        _follow, _RESULT, _STATE, "append", GroupStateTimeout.NoTimeout)

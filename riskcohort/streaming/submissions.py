@@ -23,10 +23,30 @@ def submission_stream(spark: SparkSession, path: str, fmt: str = "parquet", file
 
 
 def first_submissions(stream: DataFrame, lateness: str = "1 hour") -> DataFrame:
-    """Repeats of a submission id inside the lateness bound are dropped."""
+    """Repeats of a submission id inside the lateness bound are dropped.
+
+    Rows later than the bound are dropped too: run ``late_writer`` beside it, which keeps them in a side table.
+    """
     return stream.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["submission_id"])
 
 
+def late_writer(stream: DataFrame, late: Sink, checkpoint: str, lateness: str = "1 hour") -> DataStreamWriter:
+    """Rows more than ``lateness`` behind the newest time of the batches before go to the sink ``late``.
+
+    The newest time is one value on the driver. After a restart it starts anew, so until newer rows have come a
+    late row may be missing here; it is then answered like any other.
+    """
+    newest: list = [None]
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        if newest[0] is not None:
+            late(batch.filter(F.col("ts") < F.lit(newest[0]) - F.expr(f"interval {lateness}")), batch_id)
+        top = batch.agg(F.max("ts")).first()[0]
+        newest[0] = max((t for t in (newest[0], top) if t is not None), default=None)
+
+    return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(handle)
+
+
 def parquet_sink(path: str) -> Sink:
     """Rerunning a batch replaces that batch's folder, so a restart writes nothing twice."""
     def write(df: DataFrame, batch_id: int) -> None:
@@ -81,8 +101,3 @@ def future_risk_stream(stream: DataFrame, good: Sink, bad: Sink, checkpoint: str
                        scorer: Scorer = scorecard, risk=future_risk_score) -> DataStreamWriter:
     handle = _routed(_future(scorer, risk), good, bad)
     return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(handle)
-
-
-def late_rows(batch: DataFrame, watermark: str) -> DataFrame:
-    """Rows of a batch older than a fixed bound, for the side table."""
-    return batch.filter(F.col("ts") < F.lit(watermark).cast("timestamp"))

@@ -142,7 +142,7 @@ def test_bootstrap_matches_direct_computation(spark, weighted):
         weighted.groupBy((F.col("oof_risk_3y") + F.lit(0.0)).alias("score"), F.col("y").cast("double").alias("y"), F.col("ipcw_weight").alias("w"))
         .agg(F.count(F.lit(1)).alias("n")).withColumn("key", F.xxhash64(F.lit(K.SEED), "score", "y", "w")).toPandas()
     )
-    drawn = followup._poisson(reduced["key"].to_numpy(), reduced["n"].to_numpy(), repeats)
+    drawn = followup._poisson_draws(repeats)(reduced["key"].to_numpy(), reduced["n"].to_numpy())
     s, y = reduced["score"].to_numpy(), reduced["y"].to_numpy()
     for r in range(repeats):
         w = drawn[:, r] * reduced["w"].to_numpy()
@@ -150,3 +150,12 @@ def test_bootstrap_matches_direct_computation(spark, weighted):
         u = (pos[:, None] * neg[None, :] * ((s[:, None] > s[None, :]) + 0.5 * (s[:, None] == s[None, :]))).sum()
         assert got[r].auc == pytest.approx(u / (pos.sum() * neg.sum()))
         assert got[r].brier == pytest.approx((w * (s - y) ** 2).sum() / w.sum())
+
+
+def test_poisson_draws():
+    keys = np.arange(4000) * 7919 - 5
+    for mean in (1, 3, 25, 60, 4000):
+        drawn = followup._poisson_draws(50)(keys, np.full(len(keys), mean))
+        assert abs(drawn.mean() / mean - 1) < 0.02 and abs(drawn.var() / mean - 1) < 0.05
+    again = followup._poisson_draws(50)(keys[:3], np.full(3, 2))
+    assert (again == followup._poisson_draws(50)(keys, np.full(len(keys), 2))[:3]).all()

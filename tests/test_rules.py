@@ -112,3 +112,19 @@ def test_text(spark):
     assert [r[0] for r in nums.select(text.to_number(F.col("t"))).collect()] == [45.0, 1000.0, None, 0.5, 5.0, 1000.0, None, None, None]
     shown = spark.range(1).select(text.with_unit(F.lit(None).cast("double"), "%").alias("a"), text.with_unit(F.lit(5.25), "%", 1).alias("b")).first()
     assert shown.a == "Not provided" and shown.b.endswith("%")
+
+
+def test_nan_labs_count_as_absent(spark):
+    df = spark.createDataFrame([(math.nan, 90.0), (math.nan, math.nan), (5.2, math.nan)], "h double, g double")
+    h, g = F.col("h"), F.col("g")
+    rows = df.select(
+        recode.glycemic_class(F.lit(None).cast("double"), h, g).alias("label"), rules.lab_findings(h, g).alias("found"),
+        rules.evidence_error(F.lit(50.0), F.lit(25.0), h, g).alias("error"),
+        rules.future_risk_eligible(F.lit("Low"), h, g).alias("eligible"),
+        rules.reasons(rules.rule_fired(F.lit(0.1), h, g), h, g).alias("reasons"),
+    ).collect()
+    assert [r.label for r in rows] == ["Low", None, "Low"]
+    assert [[f.finding for f in r.found] for r in rows] == [["absent", "below_bands"], ["absent", "absent"], ["below_bands", "absent"]]
+    assert [r.error for r in rows] == [None, "evidence.glucose", "evidence.glucose"]
+    assert [r.eligible for r in rows] == [True, False, False]
+    assert [r.reasons for r in rows] == [["fallback.with_labs"], ["fallback.no_labs"], ["fallback.with_labs"]]

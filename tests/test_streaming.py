@@ -31,18 +31,44 @@ def test_future_risk_stream(spark, small_dir, tmp_path):
     assert total == fixtures.table(spark, small_dir, "events").count()
 
 
+def test_late_rows_reach_the_side_table(spark, tmp_path):
+    def land(name, rows):
+        df = spark.createDataFrame(rows, "submission_id long, user_id long, t long, body string")
+        df.select("submission_id", "user_id", F.timestamp_seconds("t").alias("ts"), "body").coalesce(1) \
+            .write.mode("append").parquet(str(tmp_path / "in"))
+
+    land("a", [(1, 1, 100_000, "{}")])
+    stream = ss.submission_stream(spark, str(tmp_path / "in"), files_per_trigger=1)
+    query = ss.late_writer(stream, ss.parquet_sink(str(tmp_path / "late")), str(tmp_path / "ck")).start()
+    try:
+        query.processAllAvailable()
+        land("b", [(2, 1, 50_000, "{}"), (3, 1, 99_000, "{}"), (4, 1, 100_500, "{}")])
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    assert [r.submission_id for r in spark.read.parquet(str(tmp_path / "late")).collect()] == [2]
+
+
 def test_record_streams(spark, tmp_path):
+    # Results before and after the edit that overtakes them, of a deleted assessment, and one that waits for its write.
     rows = [(1, 0, 1, "create", "a"), (2, 10, 1, "result", "a"), (3, 20, 1, "edit", "b"), (4, 30, 2, "create", "x"),
-            (5, 40, 2, "delete", None), (6, 50, 1, "result", "b")]
-    df = spark.createDataFrame(rows, "event_id long, t long, assessment_id long, action string, snapshot string")
-    df.withColumn("ts", F.timestamp_seconds(F.col("t"))).select("event_id", "ts", "assessment_id", "action", "snapshot") \
-        .coalesce(1).write.parquet(str(tmp_path / "in"))
+            (5, 40, 2, "delete", None), (6, 50, 1, "result", "b"), (7, 60, 1, "result", "a"), (8, 90_000, 2, "result", "x"),
+            (9, 90_000, 3, "result", "n"), (10, 200_000, 1, "edit", "c"), (11, 210_000, None, "clear", None)]
+    for part in (rows[:6], rows[6:]):
+        df = spark.createDataFrame(part, "event_id long, t long, assessment_id long, action string, snapshot string")
+        df.select("event_id", F.timestamp_seconds("t").alias("ts"), "assessment_id", F.lit(5).cast("long").alias("owner_id"),
+                  "action", "snapshot").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     sink = ss.parquet_sink(str(tmp_path / "list"))
-    stream = rs.record_stream(spark, str(tmp_path / "in"))
+    stream = rs.record_stream(spark, str(tmp_path / "in"), files_per_trigger=1)
     rs.current_list_writer(stream, sink, str(tmp_path / "ck1")).trigger(availableNow=True).start().awaitTermination(200)
-    state = {r.assessment_id: r.action for r in spark.read.parquet(str(tmp_path / "list")).collect()}
-    assert state == {1: "edit", 2: "delete"}
-    query = (rs.invalidated_results(stream).writeStream.format("memory").queryName("overtaken")
-             .option("checkpointLocation", str(tmp_path / "ck2")).trigger(availableNow=True).start())
-    query.awaitTermination(200)
-    assert [r.result_id for r in spark.table("overtaken").collect()] == [2]
+    listed = spark.read.parquet(str(tmp_path / "list")).orderBy("ts", "event_id").collect()
+    assert {r.assessment_id: r.action for r in listed} == {1: "edit", 2: "delete"}
+
+    def answers(df, name, mode):
+        query = (df.writeStream.format("memory").queryName(name).outputMode(mode)
+                 .option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start())
+        query.awaitTermination(200)
+        return spark.table(name).collect()
+
+    assert sorted(r.result_id for r in answers(rs.invalidated_results(stream), "overtaken", "append")) == [2, 6, 7, 8]
+    assert [(r.owner_id, r.event_id) for r in answers(rs.last_clears(stream), "cleared", "update")] == [(5, 11)]

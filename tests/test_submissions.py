@@ -131,3 +131,17 @@ def test_same_submission_same_answer(spark):
     out = assessment.assess_submissions(frame(spark, [GOOD, GOOD]))
     answers = {r[0] for r in out.select(assessment.assessment_response(out)).collect()}
     assert len(answers) == 1
+
+
+def test_the_last_of_repeated_keys_counts(spark):
+    text = json.dumps(GOOD)
+    bodies = [text[:-1] + tail for tail in (', "age": 300}', ', "age": true}', ', "age": "true"}', ', "age": null}', ', "age": 50}')]
+    assert codes(spark, "assessment", bodies) == ["age.range", "age.range", "age.type", "age.missing", None]
+    first = json.dumps(changed(age=300))[:-1] + ', "age": 45}'
+    assert codes(spark, "screening", [first]) == [None]
+
+
+def test_display_names_are_read_by_one_endpoint_only(spark):
+    body = {**without("age"), "age": 45, "Patient Name": "N"}
+    shown = {e: ENDPOINTS[e](frame(spark, [body])).first().person.patient_name for e in ENDPOINTS}
+    assert shown == {"screening": "Not provided", "assessment": "Not provided", "future": "N"}
