@@ -19,6 +19,8 @@ def local_session(name: str = "riskcohort", cpus: str | int = "*", partitions: i
         .config("spark.sql.adaptive.enabled", "true")
         # Small test tables: keep every core busy instead of merging shuffles into one task.
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
+        # Checkpoints that no plan refers to any more are deleted.
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "12g"))
     )
     for key, value in conf.items():
