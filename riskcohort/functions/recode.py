@@ -97,7 +97,3 @@ def yes_no_label(code: Column) -> Column:
 def sex_code_to_male(sex: Column) -> Column:
     """1/2 survey coding to a 1/0 male flag."""
     return F.when(sex == 1, 1).when(sex == 2, 0)
-
-
-def male_to_sex_code(male: Column) -> Column:
-    return F.when(male == 1, 1).when(male == 0, 2)

@@ -21,10 +21,6 @@ def trimmed(c: Column) -> Column:
     return F.btrim(c, F.lit(BLANKS))
 
 
-def token(c: Column) -> Column:
-    return F.lower(trimmed(c))
-
-
 def is_number_text(c: Column) -> Column:
     return trimmed(c).rlike(NUMBER_PATTERN)
 
@@ -55,11 +51,6 @@ def with_unit(c: Column, unit: str, digits: int | None = None) -> Column:
     return F.when(c.isNotNull(), F.concat(shown, F.lit(unit))).otherwise(K.NOT_PROVIDED)
 
 
-def or_not_provided(c: Column) -> Column:
-    text = trimmed(c)
-    return F.when(F.length(text) > 0, text).otherwise(K.NOT_PROVIDED)
-
-
 def shown_details(details: Column) -> Column:
     """Drop laboratory entries that only say "not provided" from a label -> value map."""
     return F.map_filter(

@@ -43,6 +43,7 @@ def assess(df: DataFrame, scorer: Scorer = scorecard) -> DataFrame:
 def assessment_response(df: DataFrame) -> Column:
     """JSON answer of one assessment."""
     c = F.col
+    # The keys of the answer.
     return F.to_json(F.struct(
         c("tier").alias("final_risk_level"), c("tier"), c("rule").alias("rule_triggered"),
         text.percent(c("p_high"), 1).alias("prob_high"),
@@ -90,6 +91,7 @@ def future_risk_response() -> Column:
     """JSON answer of one future-risk request."""
     c, p = F.col, F.col("risk_probability")
     hba1c, glucose = _labs()
+    # The keys of the answer and the scope text.
     horizon = F.struct(
         p.alias("probability"), (p * 100.0).alias("percentage"),
         F.lit("research_internal_validation_only").alias("evidence_scope"),

@@ -193,6 +193,7 @@ def _curve_metrics(rows: DataFrame, keys: Keys, rows_per_range: int) -> DataFram
 def risk_groups(age: Column, male: Column, bmi: Column, fpg: Column) -> Column:
     """Names of every overlapping subgroup a follow-up row belongs to."""
     f, a, b = K.FPG_BANDS, K.AGE_BANDS, K.BMI_BANDS
+    # The subgroup names.
     named = [
         (F.lit(True), "all"),
         (fpg < f[0], "fpg_below_100"),

@@ -65,6 +65,7 @@ def replay_masks(df: DataFrame) -> DataFrame:
 def policy_replay(masked: DataFrame) -> DataFrame:
     """All counts of the replay in one aggregate, as ``(scope, measure, n)``."""
     c = F.col
+    # The names of the measures.
     counts = {
         ("all", "held_out_rows"): F.lit(True),
         ("all", "both_normal"): c("both_normal"),
