@@ -21,6 +21,9 @@ from riskcohort.llm.common import texts_as_bytes
 BITS = 18
 FIT_ROWS = 16_384
 PENALTY = 0.3
+# Features of fewer rows of the sample get no weight: they would only learn these rows by heart.
+MIN_ROWS = 5
+PART = 1 << 19
 CUT = 0.5
 _TOKEN = re.compile(rb"[0-9A-Za-z_\x80-\xff]+|[^0-9A-Za-z_\s\x80-\xff]+")
 
@@ -78,21 +81,25 @@ def _minimum(f: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray,
     return x
 
 
-def fit_rows(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, penalty: float = PENALTY, rounds: int = 80) -> Model:
-    """The model with the highest penalised likelihood. Features of a single row get no weight."""
+def fit_rows(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, penalty: float = PENALTY, rounds: int = 80,
+             min_rows: int = MIN_ROWS) -> Model:
+    """The model with the highest penalised likelihood."""
     flat = np.concatenate(rows)
-    used = np.flatnonzero(np.bincount(flat, minlength=1 << BITS) > 1)
-    place = np.full(1 << BITS, -1, np.int64)
+    used = np.flatnonzero(np.bincount(flat, minlength=1 << BITS) >= min_rows)
+    place = np.full(1 << BITS, -1, np.int32)
     place[used] = np.arange(len(used))
     at = place[flat]
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])[at >= 0]
+    owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])[at >= 0]
     at, n, m, k = at[at >= 0], len(rows), len(used), n_grades - 1
+    del flat, place
+    # Passes over the entries go in parts, so that their copies stay small.
+    parts = [slice(i, i + PART) for i in range(0, len(at), PART)]
 
     def loss(p: np.ndarray) -> tuple[float, np.ndarray]:
         w, free = p[:m], p[m:]
         gaps = np.exp(free[1:])
         edges = np.r_[-np.inf, free[0] + np.r_[0, np.cumsum(gaps)], np.inf]
-        score = np.bincount(owner, w[at], n)
+        score = sum((np.bincount(owner[x], w[at[x]], n) for x in parts), np.zeros(n))
         high, low = _logistic(edges[grades + 1] - score), _logistic(edges[grades] - score)
         chance = np.maximum(high - low, 1e-12)
         d_high, d_low = high * (1 - high) / chance, low * (1 - low) / chance
@@ -100,7 +107,9 @@ def fit_rows(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, penalty:
         d_free = np.r_[by_edge[1:k + 1].sum(), [by_edge[j + 1:k + 1].sum() * gaps[j - 1] for j in range(1, k)]]
         # A weak pull keeps thresholds of grades without rows in place.
         value = -np.log(chance).sum() + penalty / 2 * (w @ w) + 0.01 / 2 * (free @ free)
-        return value, np.r_[np.bincount(at, (d_high - d_low)[owner], m) + penalty * w, d_free + 0.01 * free]
+        slope = d_high - d_low
+        d_w = sum((np.bincount(at[x], slope[owner[x]], m) for x in parts), penalty * w)
+        return value, np.r_[d_w, d_free + 0.01 * free]
 
     p = _minimum(loss, np.r_[np.zeros(m), -1.0, np.zeros(k - 1)], rounds)
     weights = np.zeros(1 << BITS, np.float32)
@@ -135,6 +144,7 @@ def fit(docs: DataFrame, ratings: DataFrame, n_grades: int, id_col: str = "doc_i
     # In an order of its own, so that reruns agree.
     order = np.lexsort((sample["features"].to_numpy(), grades))
     rows = [np.frombuffer(sample["features"].iat[i], np.int32) for i in order]
+    del sample
     return fit_rows(rows, grades[order], n_grades, penalty)
 
 

@@ -134,6 +134,6 @@ def test_quality_of_odd_rows(docs, odd_docs, no_docs, spark):
 
 def test_gradient_of_the_ordinal_likelihood():
     rows = [quality.features(t) for t in (b"a b", b"a c", b"b c", b"a b c", b"c c")]
-    model = quality.fit_rows(rows, np.array([0, 1, 2, 2, 1]), 3)
+    model = quality.fit_rows(rows, np.array([0, 1, 2, 2, 1]), 3, min_rows=1)
     better = model.weights[rows[2]].sum()
     assert model.weights[rows[0]].sum() < better and model.thresholds[0] < model.thresholds[1]
