@@ -48,7 +48,8 @@ def results(events: DataFrame) -> DataFrame:
 
 
 def valid_results(stored: DataFrame, current: DataFrame) -> DataFrame:
-    """Stored results whose snapshot is still the assessment's snapshot."""
+    """Stored results whose snapshot is still the assessment's: give ``current_records``, so that results of
+    deleted and cleared records are not valid."""
     return stored.join(current.select("assessment_id", "snapshot"), ["assessment_id", "snapshot"], "left_semi")
 
 

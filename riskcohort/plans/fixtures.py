@@ -116,8 +116,8 @@ FIXTURES = {
     ),
     "record_events": (
         "select event_id, ts, user_id as assessment_id, user_id % 20 as owner_id, "
-        "case event_type when 'signup' then 'create' when 'click' then 'edit' when 'view' then 'read' "
-        "when 'purchase' then 'result' else 'delete' end as action, "
+        "case when event_id % 499 = 7 then 'clear' else case event_type when 'signup' then 'create' when 'click' then 'edit' "
+        "when 'view' then 'read' when 'purchase' then 'result' else 'delete' end end as action, "
         "md5(concat(cast(user_id as string), '|', cast(cast(floor(value) as bigint) as string))) as snapshot "
         "from {events}"
     ),

@@ -398,6 +398,15 @@ EXTRA["current_snapshot"] = (
     "select assessment_id, snapshot, ts, event_id from (select *, row_number() over (partition by assessment_id order by ts desc, event_id desc) as rn "
     "from record_events where action in ('create', 'edit')) r where rn = 1"
 )
+EXTRA["last_clear"] = (
+    "select owner_id, ts as clear_ts, event_id as clear_id from (select *, row_number() over (partition by owner_id order by ts desc, event_id desc) as rn "
+    "from record_events where action = 'clear') c where rn = 1"
+)
+EXTRA["existing"] = (
+    "select r.* exclude (rn) from (select *, row_number() over (partition by owner_id, assessment_id order by ts desc, event_id desc) as rn "
+    "from record_events where action in ('create', 'edit', 'delete')) r left join last_clear using (owner_id) "
+    "where rn = 1 and action <> 'delete' and (clear_ts is null or ts > clear_ts or ts = clear_ts and event_id > clear_id)"
+)
 EXTRA["stored"] = "select event_id, assessment_id, snapshot from record_events where action = 'result'"
 
 
@@ -406,8 +415,7 @@ def _events(spark, sf_dir) -> DataFrame:
 
 
 @query("current_records", (
-    "select assessment_id, snapshot, event_id from (select *, row_number() over (partition by owner_id, assessment_id order by ts desc, event_id desc) as rn "
-    "from record_events where action in ('create', 'edit', 'delete')) r where rn = 1 and action <> 'delete'"
+    "select assessment_id, snapshot, event_id from existing"
 ))
 def current_records(spark, sf_dir):
     return records.current_records(_events(spark, sf_dir)).select("assessment_id", "snapshot", "event_id")
@@ -415,21 +423,21 @@ def current_records(spark, sf_dir):
 
 @query("valid_cached_results", (
     "select s.event_id, s.assessment_id, s.snapshot from stored s where exists ("
-    "select 1 from current_snapshot c where c.assessment_id = s.assessment_id and c.snapshot = s.snapshot)"
+    "select 1 from existing c where c.assessment_id = s.assessment_id and c.snapshot = s.snapshot)"
 ))
 def valid_cached_results(spark, sf_dir):
     events = _events(spark, sf_dir)
-    out = records.valid_results(records.results(events), records.current_assessments(events))
+    out = records.valid_results(records.results(events), records.current_records(events))
     return out.select("event_id", "assessment_id", "snapshot")
 
 
 @query("stale_results", (
     "select s.event_id, s.assessment_id, s.snapshot from stored s where not exists ("
-    "select 1 from current_snapshot c where c.assessment_id = s.assessment_id and c.snapshot = s.snapshot)"
+    "select 1 from existing c where c.assessment_id = s.assessment_id and c.snapshot = s.snapshot)"
 ))
 def stale_results(spark, sf_dir):
     events = _events(spark, sf_dir)
-    out = records.stale_results(records.results(events), records.current_assessments(events))
+    out = records.stale_results(records.results(events), records.current_records(events))
     return out.select("event_id", "assessment_id", "snapshot")
 
 
@@ -440,8 +448,7 @@ def record_dates(spark, sf_dir):
 
 
 @query("newest_records", (
-    "select assessment_id, event_id, ts from (select *, row_number() over (partition by owner_id, assessment_id order by ts desc, event_id desc) as rn "
-    "from record_events where action in ('create', 'edit', 'delete')) r where rn = 1 and action <> 'delete' order by ts desc, event_id desc"
+    "select assessment_id, event_id, ts from existing order by ts desc, event_id desc"
 ))
 def newest_records(spark, sf_dir):
     """The list: every record that exists, the newest on top."""
