@@ -47,17 +47,18 @@ def targets(sizes: Sequence[int], weights: Sequence[float], total: float, most:
 
 
 def _word_counts(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """``doc_id, source, size``; a null text has size 0."""
-    schema = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("size", pa.int64())])
+    """``doc_id, text_key, source, size``; a null text has size 0."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("source", pa.string()), ("size", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield batch(schema, doc_id=b.column("doc_id"), source=b.column("source"),
+            yield batch(schema, doc_id=b.column("doc_id"), text_key=b.column("text_key"), source=b.column("source"),
                         size=[len(t.split()) for t in texts_as_bytes(b.column("text"))])
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{source_col}`").cast("string").alias("source"),
                        F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, source string, size long")
+    rows = rows.withColumn("text_key", F.xxhash64("text"))
+    return rows.mapInArrow(run, "doc_id long, text_key long, source string, size long")
 
 
 def _copies(tilt, size: object) -> object:
@@ -123,13 +124,14 @@ def _round_block(size: np.ndarray, rate: np.ndarray) -> np.ndarray:
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
         weights: Sequence[float] = WEIGHTS, share: float = SHARE) -> DataFrame:
-    """``doc_id, source, size, source_size, target, rate, copies, taken``, one row per input row.
+    """``doc_id, text_key, source, size, source_size, target, rate, copies, taken``, one row per input row.
 
     Sizes are counts of words (a null text: 0). Sources in code point order, null last, get ``weights`` in
     turn and share ``share`` times all words; none gets more than twice its words. ``copies`` is 0, 1 or 2
     and ``taken`` is ``copies * size``; a document without words has rate and copies 1 (its source's share of
     words does not depend on it). Null ids and repeated rows are kept; equal rows of one block may get different
-    copies. An empty table gives an empty result. The same table gives the same result.
+    copies. ``text_key`` is the xxhash64 of the text (null as empty). An empty table gives an empty result. The same table
+    gives the same result.
 
     Runs jobs: sizes are checkpointed. The driver gets one row per source; sources name the parts of a
     mixture, so their number is taken to be small.
@@ -152,13 +154,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rate = F.when(F.col("size") == 0, F.lit(1.0)).otherwise(_copies(F.col("tilt"), F.col("size")))
     rated = (rows.join(F.broadcast(tilts), "source_id").withColumn("rate", rate)
              .withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "doc_id", "size"), "blocks"))
-             .select("doc_id", "source", "size", "source_size", "target", "rate", "source_id", "block"))
+             .select("doc_id", "text_key", "source", "size", "source_size", "target", "rate", "source_id", "block"))
 
     def settle(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values(["size", "doc_id"], ascending=[False, True], kind="stable", na_position="last")
+        block = block.sort_values(["size", "doc_id", "text_key"], ascending=[False, True, True], kind="stable", na_position="last")
         copies = _round_block(block["size"].to_numpy(), block["rate"].to_numpy())
         copies[block["size"].to_numpy() == 0] = 1
         return block.drop(columns=["source_id", "block"]).assign(copies=copies, taken=copies * block["size"].to_numpy())
 
     return rated.groupBy("source_id", "block").applyInPandas(
-        settle, "doc_id long, source string, size long, source_size long, target double, rate double, copies long, taken long")
+        settle, "doc_id long, text_key long, source string, size long, source_size long, target double, rate double, copies long, taken long")

@@ -411,20 +411,20 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
         sort, "id_key long, text_key long, spans binary")
 
 
-_KEPT = pa.schema([("doc_id", pa.int64()), ("kept", pa.binary()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()),
+_KEPT = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("kept", pa.binary()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()),
                    ("n_spans", pa.int64()), ("spans", pa.list_(pa.list_(pa.int64())))])
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
                    gram: int = GRAM, form: str = "bytes") -> DataFrame:
-    """``doc_id, kept, n_bytes, n_removed, n_spans, spans``: texts without the bytes of strings that occur before.
+    """``doc_id, text_key, kept, n_bytes, n_removed, n_spans, spans``: texts without the bytes of strings that occur before.
 
     Texts are UTF-8 bytes (null: none). A string of ``length`` bytes (at most 254) occurs before if it also starts in a
     text with a smaller id, or earlier in the same text; it never crosses texts, may overlap itself, and is
     judged on the input. ``spans`` are the maximal removed ranges. ``kept`` has, by ``form``, the remaining
     "bytes" (in which characters may be cut), their "sha256" in hex, or as "text" what is whole characters of them. Texts with the same id (null ids come first) are in the order of
-    a hash of the text; rows that repeat with id and text are one text and get the same result. An empty table
-    gives an empty result.
+    a hash of the text; rows that repeat with id and text are one text and get the same result. ``text_key`` is
+    that hash, the xxhash64 of the text (null as empty). An empty table gives an empty result.
 
     Runs one job, which adds up the sizes of the texts; texts are shuffled once.
     """
@@ -437,17 +437,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: dict[str, list] = {n: [] for n in _KEPT.names}
-            for i, text, found in zip(b.column("id_key").to_pylist(), texts_as_bytes(b.column("text")),
+            for i, key, text, found in zip(b.column("id_key").to_pylist(), b.column("text_key").to_pylist(), texts_as_bytes(b.column("text")),
                                       b.column("spans").to_pylist()):
                 ranges = _merged(np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 2) for x in found])).tolist() if found else []
                 ends = [0, *(e for _, e in ranges)]
                 kept = b"".join(text[x:y] for x, y in zip(ends, [*(s for s, _ in ranges), len(text)]))
                 shown = {"bytes": lambda x: x, "sha256": lambda x: hashlib.sha256(x).hexdigest().encode(),
                          "text": lambda x: x.decode(errors="ignore").encode()}[form](kept)
-                row = (None if i == NO_ID else i, shown, len(text), len(text) - len(kept), len(ranges), ranges)
+                row = (None if i == NO_ID else i, key, shown, len(text), len(text) - len(kept), len(ranges), ranges)
                 for name, value in zip(out, row):
                     out[name].append(value)
             yield batch(_KEPT, **out)
 
-    return joined.mapInArrow(run, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long, "
+    return joined.mapInArrow(run, "doc_id long, text_key long, kept binary, n_bytes long, n_removed long, n_spans long, "
                                   "spans array<array<long>>")

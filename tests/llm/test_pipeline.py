@@ -47,3 +47,26 @@ def test_queries_with_sql(spark, small_dir):
         columns = [d[0] for d in cursor.description]
         assert sorted(columns) == sorted(got.columns)
         assert sorted(map(tuple, got.select(columns).collect())) == sorted(cursor.fetchall())
+
+
+def test_stages_keep_texts_of_null_and_repeated_ids(spark, odd_docs, tmp_path):
+    from pyspark.sql import functions as F
+
+    docs = odd_docs.withColumns({"source": F.lit("a"), "lang": F.lit("en"), "n_chars": F.length("text").cast("long")})
+    one = corpus_pipeline.drop_near_copies(spark, docs, str(tmp_path))
+    texts = lambda df: sorted((r.doc_id or -1, r.text or "") for r in df.collect())
+    alike = [(-1, ""), (-1, "lost words here"), (5, "same text twice"), (6, "first"), (6, "second text")]
+    assert texts(one) == alike and one.dtypes == docs.dtypes
+    assert texts(corpus_pipeline.drop_repeats(spark, one, str(tmp_path))) == alike
+    # Rows that repeat are not multiplied by the joins.
+    assert texts(corpus_pipeline.drop_repeats(spark, docs, str(tmp_path))) == sorted([*alike, (5, "same text twice")])
+    tail = "a passage of more than a hundred bytes that both texts of one id and one without an id have, word by word, in full"
+    shared = spark.createDataFrame([(6, "x1 " + tail, "a", "en", 0), (6, "y2 " + tail, "a", "en", 0), (None, "z3 " + tail, "a", "en", 0),
+                                    (None, "plain", "a", "en", 0)],
+                                   "doc_id long, text string, source string, lang string, n_chars long")
+    left = [r.text for r in corpus_pipeline.drop_repeats(spark, shared, str(tmp_path)).collect()]
+    assert len(left) == 4 and sum(tail in t for t in left) == 1
+    mixed = corpus_pipeline.mix_sources(spark, docs, str(tmp_path))
+    from riskcohort.llm import mixing
+    taken = mixing.mix(docs).selectExpr("sum(copies) as n").first().n
+    assert mixed.count() == taken and mixed.select("doc_id", "text").distinct().count() <= 6
