@@ -25,6 +25,9 @@ PENALTY = 0.3
 MIN_ROWS = 5
 PART = 1 << 19
 CUT = 0.5
+# The share of held-out texts of the best grade that may be lost to the limit on the lowest grade.
+LOSS = 0.01
+HELD_OUT = 5
 _TOKEN = re.compile(rb"[0-9A-Za-z_\x80-\xff]+|[^0-9A-Za-z_\s\x80-\xff]+")
 
 
@@ -46,11 +49,19 @@ def _logistic(z: np.ndarray) -> np.ndarray:
 class Model:
     weights: np.ndarray
     thresholds: np.ndarray
+    # The highest probability of the lowest grade that is kept.
+    limit: float = 1.0
 
     def tails(self, score: np.ndarray) -> np.ndarray:
         """P(grade > k) for every k but the last, by row."""
         return 1 - _logistic(self.thresholds[None, :] - score[:, None])
 
+    def score(self, rows: list[np.ndarray]) -> np.ndarray:
+        return np.array([self.weights[r].sum(dtype=np.float64) for r in rows]).reshape(-1)
+
+    def keep(self, tails: np.ndarray, cut: float = CUT) -> np.ndarray:
+        return (tails[:, -1] >= cut) & (1 - tails[:, 0] <= self.limit)
+
 
 def _minimum(f: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray, rounds: int, memory: int = 8) -> np.ndarray:
     """Limited-memory BFGS with a backtracking line search."""
@@ -117,6 +128,24 @@ def fit_rows(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, penalty:
     return Model(weights, p[m] + np.r_[0, np.cumsum(np.exp(p[m + 1:]))])
 
 
+def calibrated(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, penalty: float = PENALTY, loss: float = LOSS) -> Model:
+    """The model of all rows, with a limit on the probability of the lowest grade from held-out rows.
+
+    A model of four fifths is scored on the other fifth (by hash of the features, so that copies stay together). The
+    limit is what all but a share of ``loss`` of its texts of the best grade stay below; with too few of them there is none.
+    """
+    held = np.array([xxhash.xxh64_intdigest(r.tobytes()) % HELD_OUT == 0 for r in rows])
+    part = lambda x: [r for r, h in zip(rows, held) if h == x]
+    limit = 1.0
+    best = held & (grades == n_grades - 1)
+    if best.sum() * loss >= 1 and len(np.unique(grades[~held])) > 1:
+        tails = (tried := fit_rows(part(False), grades[~held], n_grades, penalty)).tails(tried.score(part(True)))
+        limit = float(np.quantile((1 - tails[:, 0])[grades[held] == n_grades - 1], 1 - loss))
+    model = fit_rows(rows, grades, n_grades, penalty)
+    model.limit = limit
+    return model
+
+
 def fit(docs: DataFrame, ratings: DataFrame, n_grades: int, id_col: str = "doc_id", text_col: str = "text",
         fit_rows_: int = FIT_ROWS, penalty: float = PENALTY) -> Model | None:
     """Fits ``ratings(id_col, grade)`` on a bounded sample: the ``fit_rows_`` rated rows with the smallest hash of the id.
@@ -145,14 +174,15 @@ def fit(docs: DataFrame, ratings: DataFrame, n_grades: int, id_col: str = "doc_i
     order = np.lexsort((sample["features"].to_numpy(), grades))
     rows = [np.frombuffer(sample["features"].iat[i], np.int32) for i in order]
     del sample
-    return fit_rows(rows, grades[order], n_grades, penalty)
+    return calibrated(rows, grades[order], n_grades, penalty)
 
 
 def rate(docs: DataFrame, model: Model | None, n_grades: int, id_col: str = "doc_id", text_col: str = "text",
          cut: float = CUT, carry: Column | None = None) -> DataFrame:
     """``doc_id, expected_grade, p_best, keep`` (and ``carried``), one row per input row.
 
-    ``p_best`` is the probability of the best grade, ``keep`` whether it reaches ``cut``. A null text is empty. Without a
+    ``p_best`` is the probability of the best grade, ``keep`` whether it reaches ``cut`` and the lowest grade is not
+    likelier than the model's limit. A null text is empty. Without a
     model every document is kept, with null numbers. Null ids and repeated rows are kept. An empty table gives an
     empty result.
     """
@@ -169,9 +199,8 @@ def rate(docs: DataFrame, model: Model | None, n_grades: int, id_col: str = "doc
             if model is None:
                 numbers = [pa.nulls(n, pa.float64()), pa.nulls(n, pa.float64()), pa.array([True] * n)]
             else:
-                score = np.array([model.weights[features(t)].sum(dtype=np.float64) for t in texts_as_bytes(b.column("text"))])
-                tails = model.tails(score.reshape(-1))
-                numbers = [pa.array(tails.sum(axis=1)), pa.array(tails[:, -1]), pa.array(tails[:, -1] >= cut)]
+                tails = model.tails(model.score([features(t) for t in texts_as_bytes(b.column("text"))]))
+                numbers = [pa.array(tails.sum(axis=1)), pa.array(tails[:, -1]), pa.array(model.keep(tails, cut))]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), *numbers],
                                              [*names, "expected_grade", "p_best", "keep"])
 
