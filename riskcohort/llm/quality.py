@@ -148,25 +148,37 @@ def calibrated(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, penalt
 
 def fit(docs: DataFrame, ratings: DataFrame, n_grades: int, id_col: str = "doc_id", text_col: str = "text",
         fit_rows_: int = FIT_ROWS, penalty: float = PENALTY) -> Model | None:
-    """Fits ``ratings(id_col, grade)`` on a bounded sample: the ``fit_rows_`` rated rows with the smallest hash of the id.
+    """Fits ``ratings(id_col, grade)`` on a bounded sample: of the rated texts, each id, text and grade once, the
+    ``fit_rows_`` with the smallest hash of id and text.
 
     Rows without an id or a grade, or with a grade outside 0 to ``n_grades`` - 1, are no ratings. None if no rated
     document is found, or only one grade. The driver gets the feature numbers of the sample.
     """
     rated = (ratings.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col("grade").cast("int").alias("grade"))
-             .filter(f"doc_id is not null and grade between 0 and {n_grades - 1}")
-             .orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(fit_rows_))
-    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"),
-                        F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    schema = pa.schema([("grade", pa.int32()), ("features", pa.binary())])
+             .filter(f"doc_id is not null and grade between 0 and {n_grades - 1}").distinct())
+    texts = (docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"),
+                         F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+             .withColumn("text_key", F.xxhash64("text")))
+    names = ["doc_id", "text_key", "grade"]
+    picked = (texts.select("doc_id", "text_key").distinct().join(rated, "doc_id")
+              .orderBy(F.xxhash64("doc_id", "text_key"), *names).limit(fit_rows_))
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("grade", pa.int32()), ("features", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple] = set()  # bounded by fit_rows_
         for b in batches:
+            kept = []
+            for at, key in enumerate(zip(*(b.column(c).to_pylist() for c in names))):
+                if key not in seen:
+                    seen.add(key)
+                    kept.append(at)
+            b = b.take(pa.array(kept, pa.int64()))
             found = [features(t).tobytes() for t in texts_as_bytes(b.column("text"))]
-            yield pa.RecordBatch.from_arrays([b.column("grade"), pa.array(found, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(found, pa.binary())], schema=schema)
 
-    sample = (texts.join(F.broadcast(rated), "doc_id").select("grade", "text")  # bounded by fit_rows_
-              .mapInArrow(run, "grade int, features binary").toPandas())
+    sample = (texts.join(F.broadcast(picked), ["doc_id", "text_key"]).select(*names, "text")  # bounded by fit_rows_
+              .mapInArrow(run, "doc_id long, text_key long, grade int, features binary")
+              .groupBy(*names).agg(F.first("features").alias("features")).select("grade", "features").toPandas())
     grades = sample["grade"].to_numpy(np.int64)
     if len(np.unique(grades)) < 2:
         return None

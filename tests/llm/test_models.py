@@ -157,3 +157,15 @@ def test_quality_limits_the_lowest_grade():
     kept = model.keep(tails)
     assert kept[truth == 0].sum() < old[truth == 0].sum()
     assert kept[truth == 2].mean() >= 0.97
+
+
+def test_quality_sample_is_bounded_after_the_join(spark, monkeypatch):
+    """Repeated rows of a rated id do not multiply the sample, and ratings without documents do not use it up."""
+    rows = [(1, "the one text")] * 50 + [(i, f"text {i}") for i in range(2, 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    ratings = spark.createDataFrame([(i, i % 3) for i in range(1, 3000)], "doc_id long, grade int")
+    got = []
+    monkeypatch.setattr(quality, "calibrated", lambda found, grades, *_: got.append(len(found)))
+    quality.fit(docs, ratings, 3)
+    quality.fit(docs, ratings, 3, fit_rows_=20)
+    assert got == [29, 20]
