@@ -20,6 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from riskcohort.llm.common import batch, shuffle_partitions
+from riskcohort.session import cut_lineage
 
 SCALE = 256
 POSITIVES = 5
@@ -259,7 +260,7 @@ def mine(vectors: DataFrame, anchor: Column, id_col: str = "vec_id", vector_col:
     candidates of repeated ids count each, but never for the anchor of their id. Scores beyond 64 bits are held at the end
     of the range. Empty tables give an empty result.
 
-    Runs a job that counts the anchors. Blocks of anchors and of candidates form a grid whose cells are the tasks' work; the
+    Runs jobs: the anchors are counted and the positives checkpointed. Blocks of anchors and of candidates form a grid whose cells are the tasks' work; the
     labels play no part in dealing rows out, so a label that holds most rows is as even as any.
     """
     if not 0 < block <= 1 << 16:
@@ -274,7 +275,7 @@ def mine(vectors: DataFrame, anchor: Column, id_col: str = "vec_id", vector_col:
     rows = rows.drop("is_anchor")
     parts = max(1, math.ceil(asked.count() / most))
     asked = asked.repartition(parts, "vec_id")
-    good = _searched(asked, rows, positives, None, parts, block, most)
+    good = cut_lineage(_searched(asked, rows, positives, None, parts, block, most))
     # At most ``positives`` entries each.
     listed = good.groupBy("anchor_id").agg(F.array_sort(F.collect_list(F.struct("rank", "vec_id", "score"))).alias("good"))
     filled = [F.coalesce(F.get("good", F.lit(i))["score"], F.lit(_LEAST)) for i in range(positives)]

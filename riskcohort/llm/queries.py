@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from riskcohort.llm import (hard_negatives, language, merkle, mixing, neighbours, packing, prefix_trie, quality, simhash,
-                             suffix_dedup, token_counts, windows)
+from riskcohort.llm import (hard_negatives, kd_shards, language, merkle, mixing, neighbours, packing, prefix_trie,
+                             quality, simhash, suffix_dedup, token_counts, windows)
 from riskcohort.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,6 +80,12 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rate(docs, model, quality.GRADES)
 
 
+@query
+def op11_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = kd_shards.assign(table(spark, sf_dir, "documents"), shards=40)
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 @query
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
