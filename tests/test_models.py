@@ -80,6 +80,40 @@ def test_neighbours_match_brute_force(spark):
         assert have == pytest.approx(want)
 
 
+@pytest.mark.parametrize("cell", [4, 1 << 20])
+def test_neighbours_over_many_cells(spark, monkeypatch, cell):
+    """Two classes that share vectors, ties on a lattice, dense and sparse places, one vector with half a class."""
+    monkeypatch.setattr(oversample, "CELL", cell)
+    rng = np.random.default_rng(8)
+    pts = [(0.0, p) for p in np.c_[np.round(rng.normal(size=(300, 2)) * 3), rng.integers(0, 2, (300, 2))]]
+    pts += [(0.0, p) for p in np.c_[rng.normal(size=(200, 2)) / 50, np.zeros((200, 2))]]
+    pts += [(1.0, p) for _, p in pts[:120]] + [(1.0, np.array([0.0, 0.0, 1.0, 1.0]))] * 120
+    df = spark.createDataFrame([(Vectors.dense(p), label) for label, p in pts], ["features", "label"]).repartition(4)
+    distinct = oversample.distinct_vectors(df).persist()
+    rows = distinct.collect()
+    assert len({r.vid for r in rows}) == len(rows) == len({(r.label, tuple(r.vec)) for r in rows})
+    got = {r.base: r for r in oversample.neighbours(distinct, 5).collect()}
+    assert set(got) == {r.vid for r in rows}
+    for r in rows:
+        if r.copies > 5:
+            assert got[r.vid].near == []
+            continue
+        others = sorted((sum((a - b) ** 2 for a, b in zip(r.vec, o.vec)), o.vid, o.copies) for o in rows if o.label == r.label and o.vid != r.vid)
+        # As many as it takes to hold five rows; what follows is not looked at.
+        n = next(i for i in range(1, 6) if r.copies - 1 + sum(o[2] for o in others[:i]) >= 5)
+        assert [(e.vid, e.copies) for e in got[r.vid].near[:n]] == [o[1:] for o in others[:n]]
+
+
+def test_oversampling_of_vectors_that_classes_share(spark):
+    """Every lacking row is made, also from a vector of two minority classes."""
+    rng = np.random.default_rng(9)
+    shared = [Vectors.dense(*p) for p in np.round(rng.normal(size=(12, 3)), 1)]
+    rows = [(v, 1.0) for v in shared] + [(v, 2.0) for v in shared[:8]] + [(Vectors.dense(*p), 0.0) for p in rng.normal(size=(90, 3))]
+    rows += [(Vectors.dense(9.0, 9.0, 9.0), 2.0)] * 9
+    out = oversample.oversampled(spark.createDataFrame(rows, ["features", "label"]))
+    assert {r.label: r["count"] for r in out.groupBy("label").count().collect()} == {0.0: 90, 1.0: 90, 2.0: 90}
+
+
 def test_oversampling_balances_classes(spark):
     rng = np.random.default_rng(6)
     rows = [(Vectors.dense(*p, 1.0), 0.0) for p in rng.normal(size=(40, 2))]
