@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -54,6 +55,12 @@ class WordIds(dict):
             yield b"".join(map(get, words))
 
 
+@cache
+def word_ids(path: str) -> WordIds:
+    """The process's own: a Python worker that runs several tasks keeps the words of the ones before."""
+    return WordIds(path)
+
+
 def _groups(texts: Iterator[bytes], size: int = 1 << 20) -> Iterator[list[bytes]]:
     """Lists of about ``size`` bytes of texts, to bound what a look-up holds at once."""
     held, total = [], 0
@@ -189,7 +196,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, window: int = WI
                         ("crcs", pa.list_(pa.int64()))])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = WordIds(tokenizer_path)
+        ids = word_ids(tokenizer_path)
         for b in batches:
             tokens, crcs = [], []
             for texts in _groups(texts_as_bytes(b.column("text"))):
@@ -277,7 +284,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, window: int = WI
                      F.lit(0).cast("long").alias("offset")))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = WordIds(tokenizer_path)
+        ids = word_ids(tokenizer_path)
         for b in batches:
             found, at = [], zip(b.column("start").to_pylist(), b.column("length").to_pylist())
             for texts in _groups(texts_as_bytes(b.column("text"))):

@@ -69,7 +69,7 @@ class WordEncoder:
         form = json.loads(self.whole.to_str())
         self.split = form["normalizer"] == _NORMALIZER and form["pre_tokenizer"] == _PRE_TOKENIZER and all(
             t["content"].startswith("<|") for t in form["added_tokens"])
-        self.cut, self.table = regex.compile(_PATTERN + r"|\n"), _byte_characters()
+        self.cut, self.table = regex.compile(_PATTERN), _byte_characters()
 
     def ids(self, words: list[str]) -> list[list[int]]:
         if self.split and words:
@@ -88,21 +88,23 @@ class WordEncoder:
                 for e in self.whole.encode_batch_fast(words[i:i + 20_000], add_special_tokens=False)]
 
     def _plain(self, joined: str) -> list[list[int]]:
-        parts = self.cut.findall(joined.lower())
         encode, known = self.whole.model.tokenize, {}
-        for part in set(parts):
+
+        def of(part: str) -> list[int]:
             mapped = part if part.isascii() else part.encode().decode("latin-1").translate(self.table)
-            known[part] = [t.id for t in encode(mapped)]
-        known["\n"] = None
+            return [t.id for t in encode(mapped)]
+
         out: list[list[int]] = []
-        now: list[int] = []
-        for ids in map(known.__getitem__, parts):
-            if ids is None:
-                out.append(now)
-                now = []
-            else:
-                now = now + ids if now else ids
-        out.append(now)
+        for word in joined.lower().split("\n"):
+            if word.isalpha():  # letters alone are one pre-token
+                out.append(of(word))
+                continue
+            now: list[int] = []
+            for part in self.cut.findall(word):
+                if part not in known:
+                    known[part] = of(part)
+                now += known[part]
+            out.append(now)
         return out
 
 
