@@ -216,8 +216,8 @@ def rate(docs: DataFrame, model: Model | None, n_grades: int, id_col: str = "doc
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), *numbers],
                                              [*names, "expected_grade", "p_best", "keep"])
 
-    kept = "" if carry is None else f", carried {rows.schema['carried'].dataType.simpleString()}"
-    return rows.mapInArrow(run, f"doc_id long{kept}, expected_grade double, p_best double, keep boolean")
+    schema = rows.drop("text").schema.add("expected_grade", "double").add("p_best", "double").add("keep", "boolean")
+    return rows.mapInArrow(run, schema)
 
 
 def graded(labels: DataFrame) -> DataFrame:

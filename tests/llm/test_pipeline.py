@@ -5,7 +5,7 @@ from riskcohort.llm import queries
 
 
 def test_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
     assert len(corpus_pipeline.STAGES) == 5
 
 
@@ -38,7 +38,7 @@ def test_queries_with_sql(spark, small_dir):
     import duckdb
 
     con = duckdb.connect()
-    for name in ("documents", "embeddings"):
+    for name in ("documents", "embeddings", "conversations"):
         con.execute(f"create view {name} as select * from '{small_dir}/{name}.parquet'")
     assert set(queries.SQL) <= set(queries.QUERIES)
     for name, sql in queries.SQL.items():
@@ -46,7 +46,8 @@ def test_queries_with_sql(spark, small_dir):
         cursor = con.execute(sql)
         columns = [d[0] for d in cursor.description]
         assert sorted(columns) == sorted(got.columns)
-        assert sorted(map(tuple, got.select(columns).collect())) == sorted(cursor.fetchall())
+        key = lambda r: tuple((x is not None, x) for x in r)
+        assert sorted(map(tuple, got.select(columns).collect()), key=key) == sorted(cursor.fetchall(), key=key)
 
 
 def test_stages_keep_texts_of_null_and_repeated_ids(spark, odd_docs, tmp_path):
@@ -70,3 +71,36 @@ def test_stages_keep_texts_of_null_and_repeated_ids(spark, odd_docs, tmp_path):
     from riskcohort.llm import mixing
     taken = mixing.mix(docs).selectExpr("sum(copies) as n").first().n
     assert mixed.count() == taken and mixed.select("doc_id", "text").distinct().count() <= 6
+
+
+CLASHING = ("n", "text_key", "kept", "copies", "row", "id", "key", "doc", "found_id", "source_of", "mixed_source", "copy", "carried", "point", "size")
+
+
+def test_stages_with_clashing_columns_and_empty_tables(spark, small_dir, tmp_path):
+    """Columns of the names that the stages use inside, an array and a map, a very long text, nulls and a repeated row."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{small_dir}/documents.parquet").limit(60)
+    more = spark.createDataFrame([(7000, "word " * 30000, "en", "a", 1), (7001, None, None, None, None), (None, "", "en", "b", 0),
+                                  (7002, "twice the same row", "en", "b", 18), (7002, "twice the same row", "en", "b", 18)],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.unionByName(more).withColumns({c: F.lit("x") for c in CLASHING} | {
+        "list": F.array(F.lit(1)), "pairs": F.create_map(F.lit("k"), F.lit(1)), "a.b": F.lit(1)})
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, small_dir)
+        out.write.parquet(f"{tmp_path}/{k}")
+        assert spark.read.parquet(f"{tmp_path}/{k}").count() > 0
+        assert k == 4 or out.dtypes == docs.dtypes, name
+        assert stage(spark, docs.filter("false"), small_dir).count() == 0, name
+
+
+def test_bitmap_of_wanted_rows(spark):
+    from pyspark.sql import functions as F
+    from riskcohort.llm import near_copies
+
+    rows = spark.range(20000).select(F.col("id").alias("doc_id"), F.xxhash64("id").alias("text_key"), F.lit("t").alias("text"))
+    keys = rows.filter("doc_id % 100 = 3").select("doc_id", "text_key")
+    for most in (1 << 27, 1 << 10):
+        found = near_copies._wanted(rows, keys, most)
+        assert keys.join(found, ["doc_id", "text_key"]).count() == 200
+        assert found.count() < (5000 if most > 1 << 20 else 20001)
