@@ -88,24 +88,14 @@ class WordEncoder:
                 for e in self.whole.encode_batch_fast(words[i:i + 20_000], add_special_tokens=False)]
 
     def _plain(self, joined: str) -> list[list[int]]:
-        encode, known = self.whole.model.tokenize, {}
-
-        def of(part: str) -> list[int]:
-            mapped = part if part.isascii() else part.encode().decode("latin-1").translate(self.table)
-            return [t.id for t in encode(mapped)]
-
-        out: list[list[int]] = []
-        for word in joined.lower().split("\n"):
-            if word.isalpha():  # letters alone are one pre-token
-                out.append(of(word))
-                continue
-            now: list[int] = []
-            for part in self.cut.findall(word):
-                if part not in known:
-                    known[part] = of(part)
-                now += known[part]
-            out.append(now)
-        return out
+        words = joined.lower().split("\n")
+        # Letters alone are one pre-token.
+        cut = {w: self.cut.findall(w) for w in words if not w.isalpha()}
+        parts = list(set().union((w for w in words if w not in cut), *cut.values()))
+        mapped = [p if p.isascii() else p.encode().decode("latin-1").translate(self.table) for p in parts]
+        known = {p: [t.id for t in found] for p, found in zip(parts, map(self.whole.model.tokenize, mapped))}
+        return [known[w] if w not in cut else known[cut[w][0]] + known[cut[w][1]] if len(cut[w]) == 2
+                else [i for p in cut[w] for i in known[p]] for w in words]
 
 
 def _counter(path: str):
