@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from riskcohort import constants as K
 from riskcohort.functions import recode
+from riskcohort.functions.checks import must
 from riskcohort.sources.tables import reject_forbidden
 
 KEY = ["cycle", "SEQN"]
@@ -81,7 +82,8 @@ def labelled_with_labs(modules: Modules, **options) -> DataFrame:
 
 
 def supervised_dataset(cohort: DataFrame, observation: Observation | None = None) -> DataFrame:
-    """The twelve dataset columns of everybody with a determined label."""
+    """The twelve dataset columns of everybody with a determined label. A row that breaks a rule of the dataset stops the
+    job that reads it (``row_rules``)."""
     if observation is not None:
         cohort = cohort.observe(
             observation,
@@ -90,7 +92,7 @@ def supervised_dataset(cohort: DataFrame, observation: Observation | None = None
         )
     out = cohort.filter(F.col(K.TARGET).isNotNull()).select(*K.DATASET_COLUMNS)
     reject_forbidden(out.columns, K.LAB_COLUMNS)
-    return out
+    return must(out, row_rules(), "dataset")
 
 
 def binary_dataset(demo: DataFrame, bmx: DataFrame, diq: DataFrame,
@@ -158,18 +160,23 @@ def stacked(df: DataFrame, names: list[Column | str], values: Mapping[str, Colum
     return df.select(*names, F.explode(entries).alias("_e")).select(*names, f"_e.{key}", f"_e.{value}")
 
 
-def domain_violations(df: DataFrame) -> DataFrame:
-    """Counts of rows that break each rule of the final dataset, in one pass."""
+def row_rules() -> dict[str, Column]:
+    """What is true of a row that has no place in the final dataset."""
     c = F.col
-    checks = {
+    return {
         "age_below_minimum": c("age") < K.ADULT_MIN_AGE,
         "sex_code": ~c("sex").isin(*K.SEX_CODES),
         "race_code": ~c("race_ethnicity").isin(*K.RACE_CODES),
         "label": ~c(K.TARGET).isin(*K.CLASS_LABELS),
-        "bmi_implausible": ~c("bmi").between(*K.BMI_PLAUSIBLE),
         "missing_key": c("SEQN").isNull() | c("cycle").isNull(),
-        "missing_label": c(K.TARGET).isNull(),
     }
+
+
+def domain_violations(df: DataFrame) -> DataFrame:
+    """Counts of rows that break each rule of the final dataset, in one pass."""
+    c = F.col
+    checks = row_rules()
+    checks |= {"bmi_implausible": ~c("bmi").between(*K.BMI_PLAUSIBLE), "missing_label": c(K.TARGET).isNull()}
     counted = df.agg(*[F.count_if(check).alias(name) for name, check in checks.items()])
     return stacked(counted, [], {n: c(n) for n in checks}, "check", "n_violations")
 

@@ -1,4 +1,4 @@
-"""Three-year risk model on follow-up data: monotone fit, out-of-fold scores, calibration."""
+"""Three-year risk model on follow-up data: monotone boosted trees, out-of-fold scores, calibration."""
 
 from __future__ import annotations
 
@@ -10,14 +10,16 @@ import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.linalg import DenseMatrix
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from riskcohort import constants as K
-from riskcohort.operators import split
+from riskcohort.operators import boosting as hist, split
 from riskcohort.session import cut_lineage, spread_by
 
 MONOTONE = ("age", "bmi", "fpg_mmol_l")
 FREE = ("male",)
+# Settings of the risk model.
+RISK = hist.Boost(rounds=180, rate=0.05, leaves=12, min_leaf=50, l2=5.0, loss="logistic", monotone=MONOTONE)
 
 
 def thresholds(df: DataFrame, steps: int = 20, accuracy: int = 10_000) -> dict[str, list[float]]:
@@ -59,8 +61,9 @@ def _assembled(df: DataFrame, cuts: dict[str, list[float]]) -> DataFrame:
     return VectorAssembler(inputCols=[*names, "_male"], outputCol="features").transform(stepped)
 
 
-def fit_monotone(train: DataFrame, y: str = "y", w: str = "ipcw_weight", steps: int = 20,
-                 reg: float = 1e-4, max_iter: int = 40) -> MonotoneRisk:
+def fit_steps(train: DataFrame, y: str = "y", w: str = "ipcw_weight", steps: int = 20,
+              reg: float = 1e-4, max_iter: int = 200) -> MonotoneRisk:
+    """The additive model; fails if the optimiser has not settled."""
     cuts = thresholds(train, steps)
     n = sum(len(v) for v in cuts.values())
     lower = DenseMatrix(1, n + 1, [0.0] * n + [float("-inf")])
@@ -71,31 +74,65 @@ def fit_monotone(train: DataFrame, y: str = "y", w: str = "ipcw_weight", steps:
         lowerBoundsOnCoefficients=lower, standardization=False,
     ).fit(rows)
     rows.unpersist()
+    if model.summary.totalIterations >= max_iter:
+        raise RuntimeError(f"the step model has not settled in {max_iter} iterations")
     return MonotoneRisk(cuts, model)
 
 
-def out_of_fold(weighted: DataFrame, folds: int = K.FOLDS, seed: int = K.SEED, per_fold=None, **options) -> DataFrame:
-    """Score every evaluable row by a model that did not see it.
+def _risk_features(train: DataFrame) -> list[hist.Feature]:
+    return hist.learn_features(train, list(MONOTONE), list(FREE), "ordinal")
 
-    ``per_fold`` optionally re-weights a training part from its own censoring curve; by default
-    the weights of the whole eligible cohort are kept.
+
+def fit_monotone(train: DataFrame, y: str = "y", w: str = "ipcw_weight", boost: hist.Boost = RISK) -> hist.Model:
+    """Weighted boosted trees of the risk, non-decreasing in age, BMI and glucose."""
+    key = F.col("participant_id") if "participant_id" in train.columns else None
+    task = hist.Task("risk", boost, _risk_features(train), F.lit(True))
+    return hist.fit(train, [task], F.col(y).cast("int"), [y], F.col(w), key, classes=2).models[0]
+
+
+def risk(model: hist.Model, df: DataFrame, name: str = "score") -> DataFrame:
+    """Add the risk."""
+    return model.transform(df, "_risk").withColumn(name, F.col("_risk")[0]).drop("_risk")
+
+
+def out_of_fold(weighted: DataFrame, folds: int = K.FOLDS, seed: int = K.SEED, per_fold=None, boost: hist.Boost = RISK,
+                y: str = "y", w: str = "ipcw_weight") -> DataFrame:
+    """Score every evaluable row by a model that did not see it."""
+    return out_of_fold_fits(weighted, folds, seed, per_fold, boost, y, w)[0]
+
+
+def out_of_fold_fits(weighted: DataFrame, folds: int = K.FOLDS, seed: int = K.SEED, per_fold=None, boost: hist.Boost = RISK,
+                     y: str = "y", w: str = "ipcw_weight") -> tuple[DataFrame, list[hist.Model]]:
+    """Scores out of fold (``oof_risk_3y``) and the models of the folds, which are fitted in step.
+
+    ``per_fold`` optionally re-weights a training part from its own censoring curve, one fit after the other; by
+    default the weights of the whole eligible cohort are kept.
     """
     stored = cut_lineage(spread_by(weighted, "participant_id"))
-    folded = cut_lineage(split.fold_assignment(stored, label="y", row_id="participant_id", seed=seed, folds=folds))
+    folded = cut_lineage(split.fold_assignment(stored, label=y, row_id="participant_id", seed=seed, folds=folds))
+    parts = [folded.filter(F.col("fold") != k) for k in range(folds)]
+    if per_fold is None:
+        tasks = [hist.Task(f"fold {k}", boost, _risk_features(parts[k]), F.col("fold") != k) for k in range(folds)]
+        found = hist.fit(folded, tasks, F.col(y).cast("int"), folded.columns, F.col(w), F.col("participant_id"), classes=2)
+        return found.scored().withColumn("oof_risk_3y", F.col("probability")[0]).drop("probability", "model"), found.models
 
-    def run(k: int) -> DataFrame:
-        train = folded.filter(F.col("fold") != k)
-        if per_fold is not None:
-            train = per_fold(train)
-        return fit_monotone(train, **options).score(folded.filter(F.col("fold") == k), "oof_risk_3y")
+    def run(k: int) -> tuple[DataFrame, hist.Model]:
+        model = fit_monotone(per_fold(parts[k]), y, w, boost)
+        return risk(model, folded.filter(F.col("fold") == k), "oof_risk_3y"), model
 
     # The fits run side by side; rows stay on the executors.
     with ThreadPool(min(folds, 5)) as pool:
-        parts = pool.map(run, range(folds))
-    out = parts[0]
-    for part in parts[1:]:
+        made = pool.map(run, range(folds))
+    out = made[0][0]
+    for part, _ in made[1:]:
         out = out.unionByName(part)
-    return out
+    return out, [m for _, m in made]
+
+
+def fit_report(spark: SparkSession, models: list[hist.Model]) -> DataFrame:
+    """One row per model: rounds grown, whether it stopped by itself, the best and the last loss held out."""
+    rows = [(m.name, len(m.trees), m.stopped, min(m.losses, default=None), m.losses[-1] if m.losses else None) for m in models]
+    return spark.createDataFrame(rows, "model string, rounds int, stopped boolean, best_loss double, last_loss double")
 
 
 def log_odds(p: Column, clip: float = 1e-8) -> Column:

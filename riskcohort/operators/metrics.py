@@ -141,8 +141,7 @@ def ranking_metrics(df: DataFrame, keys: Keys = (), y: str = "y", score: str = "
         by_score(clean, keys, y, score, w), score, {"p": c("wp"), "n": c("wn")}, keys=keys,
         rows_per_range=rows_per_range,
     )
-    tp = c("p_total") - c("p_before")            # positives at or above this score
-    fp = c("n_total") - c("n_before")
+    tp, fp = c("p_from"), c("n_from")            # at or above this score
     terms = curve.select(
         *keys, "wp", "wn",
         (c("wp") * (c("n_before") + c("wn") / 2.0)).alias("u"),
@@ -170,7 +169,7 @@ def _curve_metrics(rows: DataFrame, keys: Keys, rows_per_range: int) -> DataFram
     curve = ordered.running(
         rows, "score", {"p": c("wp"), "m": c("wn")}, keys=keys, rows_per_range=rows_per_range
     )
-    tp, fp = c("p_total") - c("p_before"), c("m_total") - c("m_before")
+    tp, fp = c("p_from"), c("m_from")
     w_all = F.sum(c("wp") + c("wn"))
     s = c("score")
     return curve.groupBy(*keys).agg(

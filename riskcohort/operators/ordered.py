@@ -1,13 +1,11 @@
 """Running totals and as-of lookups over a global order, without a one-task window.
 
-The order is cut into ranges at approximate quantiles. Each range is totalled, the few range
-totals are accumulated, and a window inside each range adds the rest. Results are exact: the
-quantiles only decide where the cuts fall. Callers aggregate to distinct order values first,
-so one value held by a third of all rows is a single row here and ranges stay balanced.
-
-Inputs are read several times (size, cuts, totals, window), so their lineage is cut first: the
-work above is done once and survives lost executors. Tables of up to ``ROWS_PER_RANGE`` rows
-need no cuts and are ordered by one bounded window per key.
+Rows are dealt out by ranges of the order, each range is totalled, the few range totals are accumulated, and a window
+inside each range adds the rest. Results are exact: the ranges only decide where the cuts fall. Callers aggregate to
+distinct order values first, so one value held by a third of all rows is a single row here and ranges stay even.
+
+Inputs are read several times (size, totals, window), so their lineage is cut first: the work above is done once and
+survives lost executors. A table of up to ``ROWS_PER_RANGE`` rows is one range.
 """
 
 from __future__ import annotations
@@ -18,33 +16,33 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from riskcohort.session import cut_lineage
 
-ROWS_PER_RANGE = 1_000_000
-MAX_RANGES = 1024
+ROWS_PER_RANGE = 1 << 17
 
 
 def with_range(df: DataFrame, order: str, rows_per_range: int = ROWS_PER_RANGE) -> tuple[DataFrame, int]:
-    """``df`` with the number of the quantile range of ``order``, and how many ranges there are."""
-    n = df.count()
-    ranges = max(1, min(MAX_RANGES, -(-n // rows_per_range)))
+    """``df`` (stored) with the number of the range of ``order``, and how many ranges there are at most.
+
+    Several ranges are stored again with their numbers: where the cuts fall may differ from one run to the next.
+    """
+    ranges = max(1, -(-df.count() // rows_per_range))
     if ranges == 1:
         return df.withColumn("_range", F.lit(0)), 1
-    marks = [i / ranges for i in range(1, ranges)]
-    edges = df.agg(F.percentile_approx(order, marks, max(10_000, ranges * 100)).alias("_edges"))
-    # The edges are one row of at most MAX_RANGES numbers.
-    one = F.lit(1).alias("_one")
-    cut = df.select("*", one).join(F.broadcast(edges.select("_edges", one)), "_one")
-    below = F.filter("_edges", lambda e: e < F.col(order))
-    return cut.withColumn("_range", F.size(below)).drop("_one", "_edges"), ranges
+    return cut_lineage(df.repartitionByRange(ranges, order).withColumn("_range", F.spark_partition_id())), ranges
 
 
 def _before(keys: list, order: str) -> W:
     return W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
 
 
+def _onwards(keys: list, order: str, start: int) -> W:
+    return W.partitionBy(*keys).orderBy(order).rowsBetween(start, W.unboundedFollowing)
+
+
 def running(df: DataFrame, order: str, sums: Mapping[str, Column] | None = None,
             products: Mapping[str, Column] | None = None, keys: tuple[str, ...] = (),
             rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
-    """Add, per name, ``<name>_before`` (strictly earlier rows) and ``<name>_total`` (all rows).
+    """Add, per name, ``<name>_before`` (strictly earlier rows) and ``<name>_total`` (all rows), and for sums ``<name>_from``
+    (the row and all later ones, added up from the end: no difference of large numbers).
 
     ``order`` must be unique within ``keys``. ``keys`` name a bounded set of groups: the range
     totals (groups x ranges rows) are the only thing accumulated in one place.
@@ -66,6 +64,7 @@ def running(df: DataFrame, order: str, sums: Mapping[str, Column] | None = None,
         for n in values:
             before = F.coalesce(total[n](f"_v_{n}").over(_before(list(keys), order)), start[n])
             out = out.withColumns({f"{n}_before": before, f"{n}_total": total[n](f"_v_{n}").over(whole)})
+        out = out.withColumns({f"{n}_from": F.sum(f"_v_{n}").over(_onwards(list(keys), order, 0)) for n in sums})
         return out.drop("_range", *[f"_v_{n}" for n in values])
     per_range = ranged.groupBy(*group).agg(*[total[n](f"_v_{n}").alias(f"_t_{n}") for n in values])
     earlier, every = _before(list(keys), "_range"), W.partitionBy(*keys)
@@ -73,6 +72,7 @@ def running(df: DataFrame, order: str, sums: Mapping[str, Column] | None = None,
         *group,
         *[F.coalesce(total[n](f"_t_{n}").over(earlier), start[n]).alias(f"_o_{n}") for n in values],
         *[total[n](f"_t_{n}").over(every).alias(f"{n}_total") for n in values],
+        *[F.coalesce(F.sum(f"_t_{n}").over(_onwards(list(keys), "_range", 1)), F.lit(0.0)).alias(f"_l_{n}") for n in sums],
     )
     inside = _before(group, order)
     out = ranged.join(offsets, group)
@@ -81,8 +81,8 @@ def running(df: DataFrame, order: str, sums: Mapping[str, Column] | None = None,
             n, F.col(f"_o_{n}"), F.coalesce(total[n](f"_v_{n}").over(inside), start[n])
         )
         for n in values
-    })
-    return out.drop("_range", *[f"_{p}_{n}" for n in values for p in ("v", "o")])
+    } | {f"{n}_from": F.col(f"_l_{n}") + F.sum(f"_v_{n}").over(_onwards(group, order, 0)) for n in sums})
+    return out.drop("_range", *[f"_{p}_{n}" for n in values for p in ("v", "o", "l")])
 
 
 def as_of(queries: DataFrame, at: str, steps: DataFrame, step_at: str, value: str,

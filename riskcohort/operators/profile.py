@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from riskcohort import constants as K
 from riskcohort.functions import recode
 from riskcohort.operators.cohort import stacked
+from riskcohort.operators.quantiles import exact_quantiles
 
 
 def share(part: Column, whole: Column) -> Column:
@@ -117,31 +118,20 @@ def prevalence(df: DataFrame, outcome: str) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n"), F.avg(outcome).alias("prevalence"))
 
 
-def evidence_ranges(df: DataFrame, columns, exact: bool = True, accuracy: int = 100_000) -> DataFrame:
-    """Observed range and central 1-99%.
-
-    The exact form counts distinct values per column, so its state is bounded by the precision
-    of the measurement. ``exact=False`` uses a sketch for columns without such a precision.
-    """
-    aggs = []
-    for c in columns:
-        q = F.percentile(c, [0.01, 0.99]) if exact else F.percentile_approx(c, [0.01, 0.99], accuracy)
-        aggs += [F.min(c).alias(f"{c}_lo"), F.max(c).alias(f"{c}_hi"), q.alias(f"{c}_q")]
-    entries = F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(f"{c}_lo").cast("double").alias("min"),
-                 F.col(f"{c}_hi").cast("double").alias("max"),
-                 F.col(f"{c}_q")[0].cast("double").alias("q01"),
-                 F.col(f"{c}_q")[1].cast("double").alias("q99"))
-        for c in columns
-    ])
-    return df.agg(*aggs).select(F.explode(entries).alias("e")).select("e.*")
+def evidence_ranges(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Observed range and central 1-99%, exact; one row per column."""
+    found = exact_quantiles(df, columns, [0.0, 0.01, 0.99, 1.0])
+    rows = [(c, q[0.0], q[1.0], q[0.01], q[0.99]) for c, q in found.items()]
+    return df.sparkSession.createDataFrame(rows, "column string, min double, max double, q01 double, q99 double")
 
 
 def fill_values(train: DataFrame) -> DataFrame:
     """Median or most frequent value per predictor, with the share that will be filled."""
+    medians = exact_quantiles(train, list(K.NUMERIC_PREDICTORS), [0.5])
     aggs = [F.count(F.lit(1)).alias("_n")]
     for c in K.PREDICTORS:
-        value = F.percentile(c, 0.5) if c in K.NUMERIC_PREDICTORS else F.mode(c, True)
+        # The mode keeps a count per code of the column.
+        value = F.lit(medians[c][0.5]) if c in K.NUMERIC_PREDICTORS else F.mode(c, True)
         aggs += [value.cast("double").alias(f"{c}_fill"), F.count_if(F.col(c).isNull()).alias(f"{c}_gone")]
     entries = F.array(*[
         F.struct(F.lit(c).alias("column"),

@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from riskcohort import constants as K
+from riskcohort.functions.checks import one_per_key
 from riskcohort.functions.recode import is_true, lab
 from riskcohort.functions.rules import diagnostic_lab, prediabetic_lab
 from riskcohort.operators.cohort import KEY, stacked
 
 
 def labs_outer_join(ghb: DataFrame, glu: DataFrame) -> DataFrame:
-    """Everybody with a row in either laboratory table; NaN values count as absent."""
-    left, right = (df.select(*KEY, lab(F.col(c)).alias(c)) for df, c in ((ghb, "LBXGH"), (glu, "LBXGLU")))
+    """Everybody with a row in either laboratory table; NaN values count as absent. A person with two rows in one table
+    stops the job."""
+    left, right = (one_per_key(df.select(*KEY, lab(F.col(c)).alias(c)), KEY, c) for df, c in ((ghb, "LBXGH"), (glu, "LBXGLU")))
     return left.join(right, KEY, "full_outer")
 
 
@@ -27,7 +29,8 @@ def one_to_one_violations(left: DataFrame, right: DataFrame, key: list[str]) ->
 
 
 def with_labs(held_out: DataFrame, labs: DataFrame) -> DataFrame:
-    return held_out.join(labs, KEY, "left")
+    """People with their laboratory values, if any; a key that repeats in ``labs`` stops the job."""
+    return held_out.join(one_per_key(labs, KEY, "labs"), KEY, "left")
 
 
 def replay_masks(df: DataFrame) -> DataFrame:

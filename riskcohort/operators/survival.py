@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from riskcohort import constants as K
+from riskcohort.functions.checks import must
 from riskcohort.operators import ordered
 
 
@@ -53,8 +54,12 @@ def ipcw_weights(cohort: DataFrame, horizon: float = K.HORIZON_YEARS, floor: flo
                  curve: DataFrame | None = None) -> DataFrame:
     """Evaluable rows with ``y`` and ``ipcw_weight``; the curve uses the whole eligible cohort.
 
-    Pass ``curve`` to weight a part (a fold, say) by a curve estimated elsewhere.
+    Pass ``curve`` to weight a part (a fold, say) by a curve estimated elsewhere. A row without a time from 0 on, or with
+    another event than 0 or 1, stops the job that reads it.
     """
+    time, event = F.col("time_years"), F.col("event")
+    cohort = must(cohort, {"time": time.isNull() | F.isnan(time.cast("double")) | (time < 0), "event": event.isNull() | ~event.isin(0, 1)},
+                  "follow-up cohort")
     labelled = horizon_labels(cohort, horizon=horizon)
     curve = censoring_curve(cohort) if curve is None else curve
     known = labelled.filter("known").drop("known")

@@ -1,5 +1,5 @@
-"""Fitted models over the driver tables. Forests and boosting are kept small here; the sizes are
-parameters of the library functions."""
+"""Fitted models over the driver tables. Forests are kept small here; their size is a parameter of the library
+functions. Boosting runs up to its full number of rounds and stops by its held-out part."""
 
 from __future__ import annotations
 
@@ -13,11 +13,11 @@ from riskcohort.plans.metric_queries import folded_training, followup
 from riskcohort.plans.registry import query, rounded
 from riskcohort.session import cut_lineage
 
-TREES, ROUNDS = 20, 2
+TREES = 20
 
 
 def _candidates():
-    return models.training_candidates(TREES, ROUNDS, oversample.oversampled)
+    return models.training_candidates(TREES, resample=oversample.oversampled)
 
 
 @query("candidate_cv")
@@ -37,7 +37,7 @@ def candidate_holdout(spark, sf_dir):
 def diagnostic_holdout(spark, sf_dir):
     """The six boosting variants on the held-out part."""
     held = split.stratified_holdout(stored_dataset(spark, sf_dir))
-    scored = cut_lineage(models.holdout_scores(models.diagnostic_candidates(1), held))
+    scored = cut_lineage(models.holdout_scores(models.diagnostic_candidates(), held))
     return rounded(models.holdout_evaluation(scored))
 
 
@@ -49,6 +49,13 @@ def forest_pooled_cv(spark, sf_dir):
     return rounded(models.pooled_comparison(cut_lineage(scored)))
 
 
+@query("diagnostic_pooled_cv")
+def diagnostic_pooled_cv(spark, sf_dir):
+    """The six boosting variants over five folds, cells summed over folds first: thirty fits in step."""
+    scored = models.cross_validated_scores(models.diagnostic_candidates(), folded_training(spark, sf_dir))
+    return rounded(models.pooled_comparison(cut_lineage(scored)))
+
+
 @query("permutation_importance")
 def permutation_importance(spark, sf_dir):
     """Importance of each predictor to a forest, on held-out people."""
@@ -125,6 +132,13 @@ def monotone_risk_oof(spark, sf_dir):
     return rounded(_oof(spark, sf_dir).select("participant_id", "time_years", "event", "ipcw_weight", "oof_risk_3y"), 8)
 
 
+@query("monotone_risk_fits")
+def monotone_risk_fits(spark, sf_dir):
+    """How the five models of the out-of-fold risk ended."""
+    _, fitted = fu.out_of_fold_fits(survival.ipcw_weights(followup(spark, sf_dir)))
+    return rounded(fu.fit_report(spark, fitted))
+
+
 @query("oof_metrics")
 def oof_metrics(spark, sf_dir):
     """All subgroup metrics of the out-of-fold scores."""

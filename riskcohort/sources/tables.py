@@ -7,7 +7,9 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from riskcohort import constants as K, schemas
+from riskcohort.functions.checks import must
 from riskcohort.functions.recode import as_number
+from riskcohort.sources.audit import landed_files
 
 
 class ContractError(ValueError):
@@ -111,23 +113,21 @@ def read_followup(df: DataFrame) -> DataFrame:
 
 
 def eligible_followup(df: DataFrame) -> DataFrame:
-    """Baseline FPG inside the eligible range; a missing value drops the row."""
-    return df.filter(F.col("fpg_mmol_l").between(*K.FPG_ELIGIBLE))
+    """Baseline FPG inside the eligible range; a missing value drops the row. Any other value that is missing there stops
+    the job that reads the row."""
+    eligible = df.filter(F.col("fpg_mmol_l").between(*K.FPG_ELIGIBLE))
+    missing = {f"{c} is missing": F.col(c).isNull() for c in schemas.FOLLOWUP.names if c in df.columns}
+    return must(eligible, missing, "follow-up table")
 
 
 def landing_audit(spark: SparkSession, path: str, magic: str, pattern: str = "*") -> DataFrame:
     """One row per landed file: size, leading bytes, SHA-256 of the whole content.
 
-    ``magic`` is the expected leading text. Files are read in parallel, one task per file, and
-    a file beyond the reader's 2 GB limit fails the audit rather than passing unread.
+    ``magic`` is the expected leading text. Files are read in parallel and in pieces, so their size does not matter;
+    an empty file is a row, an empty folder gives none, and a missing one is an error.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
-    head = F.substring(F.col("content"), 1, len(magic)).cast("string")
+    files = landed_files(spark, path, pattern, len(magic.encode()))
     return files.select(
-        F.element_at(F.split("path", "/"), -1).alias("file"),
-        F.col("length").alias("bytes"),
-        (F.col("length") >= K.MIN_FILE_BYTES).alias("size_ok"),
-        (head == magic).alias("magic_ok"),
-        F.sha2(F.col("content"), 256).alias("sha256"),
+        "file", "bytes", (F.col("bytes") >= K.MIN_FILE_BYTES).alias("size_ok"),
+        (F.col("head") == F.lit(magic.encode())).alias("magic_ok"), "sha256",
     )
-

@@ -25,28 +25,51 @@ def submission_stream(spark: SparkSession, path: str, fmt: str = "parquet", file
 def first_submissions(stream: DataFrame, lateness: str = "1 hour") -> DataFrame:
     """Repeats of a submission id inside the lateness bound are dropped.
 
-    Rows later than the bound are dropped too: run ``late_writer`` beside it, which keeps them in a side table.
+    Rows later than the bound are dropped too; ``split_late`` keeps them instead.
     """
     return stream.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["submission_id"])
 
 
-def late_writer(stream: DataFrame, late: Sink, checkpoint: str, lateness: str = "1 hour") -> DataStreamWriter:
-    """Rows more than ``lateness`` behind the newest time of the batches before go to the sink ``late``.
+def split_late(stream: DataFrame, answer: Sink, late: Sink, checkpoint: str, lateness: str = "1 hour") -> DataStreamWriter:
+    """Every row to exactly one sink: to ``late`` if it is more than ``lateness`` behind the newest time of the batches
+    before, else, if its id was not answered within that time, to ``answer``; repeats go to neither.
 
-    The newest time is one value on the driver. After a restart it starts anew, so until newer rows have come a
-    late row may be missing here; it is then answered like any other.
+    Times and ids of a batch are written beside the checkpoint once its rows are out, and a batch reads only those of
+    batches before it. A batch that is run again after a restart, or a new session, therefore decides the same.
+    Ids are kept for as long as ``lateness``. A row without a time is never late; a null id is never a repeat.
     """
-    newest: list = [None]
-
     def handle(batch: DataFrame, batch_id: int) -> None:
-        if newest[0] is not None:
-            late(batch.filter(F.col("ts") < F.lit(newest[0]) - F.expr(f"interval {lateness}")), batch_id)
-        top = batch.agg(F.max("ts")).first()[0]
-        newest[0] = max((t for t in (newest[0], top) if t is not None), default=None)
+        spark = batch.sparkSession
+        seen = spark.read.schema(_SEEN).parquet(f"{checkpoint}/seen").filter(F.col("batch") < batch_id) if batch_id else None
+        newest = seen.agg(F.max("newest")).first()[0] if seen is not None else None
+        limit = F.lit(newest) - F.expr(f"interval {lateness}")
+        is_late = F.coalesce(F.col("ts") < limit, F.lit(False)) if newest is not None else F.lit(False)
+        kept = batch.withColumn("_late", is_late).persist()
+        try:
+            late(kept.filter("_late").drop("_late"), batch_id)
+            fresh = kept.filter("not _late").drop("_late")
+            # The first of a repeated id by time; the rest of the row settles ties.
+            row = F.struct("ts", *[c for c in batch.columns if c != "ts"])
+            known = fresh.filter("submission_id is not null").groupBy("submission_id").agg(F.min(row).alias("_row")).select("_row.*")
+            if newest is not None:
+                recent = seen.filter(F.col("ts") >= limit).select("submission_id").distinct()
+                known = known.join(recent, "submission_id", "left_anti")
+            answer(known.select(batch.columns).unionByName(fresh.filter("submission_id is null")), batch_id)
+            top = F.lit(kept.agg(F.max("ts")).first()[0]).cast("timestamp")
+            newest_now = top if newest is None else F.greatest(top, F.lit(newest))
+            ids = fresh.groupBy("submission_id").agg(F.max("ts").alias("ts"))
+            mark = spark.range(1).select(F.lit(None).cast("long").alias("submission_id"), F.lit(None).cast("timestamp").alias("ts"))
+            out = ids.unionByName(mark).withColumn("newest", newest_now)
+            out.write.mode("overwrite").parquet(f"{checkpoint}/seen/batch={batch_id}")
+        finally:
+            kept.unpersist()
 
     return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(handle)
 
 
+_SEEN = "submission_id long, ts timestamp, newest timestamp, batch long"
+
+
 def parquet_sink(path: str) -> Sink:
     """Rerunning a batch replaces that batch's folder, so a restart writes nothing twice."""
     def write(df: DataFrame, batch_id: int) -> None:

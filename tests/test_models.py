@@ -32,17 +32,104 @@ def test_fit_score_save_load(spark, people, tmp_path):
     assert right > 300
     summary = models.check_model(model)
     assert summary["features"] == list(K.PREDICTORS)
-    models.save_model(model, str(tmp_path / "m"))
-    again = models.score(models.load_model(str(tmp_path / "m")), people)
+    models.save_model(spark, model, str(tmp_path / "m"))
+    again = models.score(models.load_model(spark, str(tmp_path / "m")), people)
     assert again.select("SEQN", "p_high").exceptAll(scored.select("SEQN", "p_high")).count() == 0
 
 
-def test_boosting_ordinal_with_indicators(people):
-    candidate = models.Candidate("b", models.boosting(2, depth=3), "ordinal", True)
+def test_boosting_ordinal_with_indicators(spark, people, tmp_path):
+    candidate = models.Candidate("b", models.boosting(20, leaves=8), "ordinal", True)
     model = models.fit(candidate, people)
     unseen = people.withColumn("race_ethnicity", F.lit(5))
     row = models.score(model, unseen).agg(F.min("p_high"), F.count("y_pred")).first()
     assert row[0] > 0 and row[1] == 400
+    assert models.score(model, people).filter(F.col("y_pred") == F.col(K.TARGET)).count() > 330
+    models.save_model(spark, model, str(tmp_path / "b"))
+    again = models.load_model(spark, str(tmp_path / "b"))
+    assert again.to_json() == model.to_json()
+    assert models.check_model(again)["params"]["rounds_grown"] == len(model.trees)
+
+
+def plain_boost(codes, bins, y, w, boost, rounds):
+    """One model by plain loops over leaves, features and bins, level by level."""
+    n, classes = len(y), 3
+    shares = np.array([w[y == k].sum() for k in range(classes)])
+    scores = np.tile(np.log(shares / shares.sum()), (n, 1))
+    for _ in range(rounds):
+        e = np.exp(scores - scores.max(axis=1, keepdims=True))
+        p = e / e.sum(axis=1, keepdims=True)
+        steps = np.zeros_like(scores)
+        for k in range(classes):
+            g, h = (p[:, k] - (y == k)) * w, p[:, k] * (1 - p[:, k]) * w
+            value = lambda r: -g[r].sum() / (h[r].sum() + boost.l2)
+            worth = lambda r: g[r].sum() ** 2 / (h[r].sum() + boost.l2) / 2
+            level, done = [np.arange(n)], []
+            while level:
+                found = []
+                for r in level:
+                    best = (-np.inf, None, None)
+                    for f in range(codes.shape[1]):
+                        for b in range(bins[f] - 1):
+                            lo, hi = r[codes[r, f] <= b], r[codes[r, f] > b]
+                            if min(len(lo), len(hi)) >= boost.min_leaf:
+                                gain = worth(lo) + worth(hi) - worth(r)
+                                if gain > best[0] + 1e-9:
+                                    best = (gain, lo, hi)
+                    found.append((best[0], r, best[1], best[2]))
+                room = boost.leaves - len(done) - len(level)
+                following = []
+                for gain, r, lo, hi in sorted(found, key=lambda x: -x[0]):
+                    if room > 0 and gain > 1e-12:
+                        room -= 1
+                        following += [lo, hi]
+                    else:
+                        done.append(r)
+                level = following
+                if room <= 0:
+                    done, level = done + level, []
+            for r in done:
+                steps[r, k] = boost.rate * value(r)
+        scores += steps
+    return scores
+
+
+def test_boosting_equals_plain_loops(spark):
+    from riskcohort.operators import boosting as hist
+
+    rng = np.random.default_rng(12)
+    a, b, c = rng.normal(size=300), np.round(rng.normal(size=300), 1), rng.integers(0, 3, 300).astype(float)
+    y = np.clip(np.floor(a + b / 2 + (c == 1) + rng.normal(size=300) / 2 + 1), 0, 2).astype(int)
+    w = rng.uniform(0.5, 2, 300)
+    rows = [(i, float(a[i]), None if i % 37 == 0 else float(b[i]), float(c[i]), int(y[i]), float(w[i])) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double, y int, w double").repartition(5)
+    feats = [hist.Feature("a", "numeric", (-1.0, -0.25, 0.25, 1.0)), hist.Feature("b", "numeric", (-0.5, 0.5), 0.7), hist.Feature("b", "missing"),
+             hist.Feature("c", "onehot", (1.0,)), hist.Feature("c", "ordinal", (0.0, 1.0, 2.0))]
+    boost = hist.Boost(rounds=4, rate=0.3, leaves=6, min_leaf=8, l2=0.5, patience=0)
+    tasks = [hist.Task("all", boost, feats, F.lit(True)), hist.Task("some", boost, feats, F.col("id") % 3 != 0)]
+    found = hist.fit(df, tasks, F.col("y"), ["id"], F.col("w"))
+    raw = {"a": a, "b": np.where(np.arange(300) % 37 == 0, np.nan, b), "c": c}
+    codes = hist.Layout(feats).codes(raw).astype(int)
+    bins = [f.bins for f in feats]
+    assert np.allclose(found.models[0].scores(raw, 300), plain_boost(codes, bins, y, w, boost, 4))
+    part = np.arange(300) % 3 != 0
+    want = plain_boost(codes[part], bins, y[part], w[part], boost, 4)
+    assert np.allclose(found.models[1].scores({k: v[part] for k, v in raw.items()}, int(part.sum())), want)
+    scored = {r.id: r for r in found.scored().collect()}
+    assert set(scored) == {i for i in range(300) if i % 3 == 0} and {r.model for r in scored.values()} == {1}
+    direct = hist.probabilities(found.models[1].scores(raw, 300), "softmax")
+    assert all(np.allclose(r.probability, direct[i]) for i, r in scored.items())
+
+
+def test_boosting_stops_on_noise(spark):
+    from riskcohort.operators import boosting as hist
+
+    rng = np.random.default_rng(13)
+    df = spark.createDataFrame([(i, float(rng.normal()), int(rng.integers(0, 3))) for i in range(800)], "id long, a double, y int")
+    task = hist.Task("noise", hist.Boost(rounds=300, patience=3), hist.learn_features(df, ["a"], []), F.lit(True))
+    model = hist.fit(df, [task], F.col("y"), ["id"], key=F.col("id")).models[0]
+    assert model.stopped and len(model.trees) < 60 and len(model.losses) == len(model.trees) + 1
+    empty = hist.fit(df.filter("false"), [task], F.col("y"), ["id"]).models[0]
+    assert empty.trees and empty.losses == []
 
 
 def test_unknown_category_codes(people):
@@ -153,15 +240,33 @@ def weighted(spark):
 
 
 def test_monotone_risk(spark, weighted):
-    model = followup.fit_monotone(weighted, steps=8)
-    coefficients = model.model.coefficients.toArray()
-    assert (coefficients[:-1] >= 0).all()
-    line = spark.range(20, 80).select(F.col("id").cast("double").alias("age"), F.lit(1).alias("male"),
-                                      F.lit(26.0).alias("bmi"), F.lit(5.5).alias("fpg_mmol_l"))
-    risk = [r.score for r in model.score(line).orderBy("age").collect()]
-    assert all(b >= a - 1e-12 for a, b in zip(risk, risk[1:]))
-    out = followup.out_of_fold(weighted.drop("oof_risk_3y"), folds=3, steps=6)
-    assert out.count() == 600 and out.filter("oof_risk_3y is null").count() == 0
+    from dataclasses import replace
+
+    from riskcohort.operators import metrics
+
+    steps = followup.fit_steps(weighted, steps=8)
+    assert (steps.model.coefficients.toArray()[:-1] >= 0).all()
+    boost = replace(followup.RISK, rounds=40, min_leaf=15, rate=0.1)
+    model = followup.fit_monotone(weighted, boost=boost)
+    fixed = {"age": F.lit(50.0), "bmi": F.lit(26.0), "fpg_mmol_l": F.lit(5.5), "male": F.lit(1)}
+    for name, low, step in (("age", 18, 1.0), ("bmi", 16, 0.5), ("fpg_mmol_l", 3.5, 0.06)):
+        for other in ({}, {"age": F.lit(25.0), "bmi": F.lit(38.0), "male": F.lit(0)}):
+            columns = fixed | other | {name: F.col("id") * step + low}
+            line = spark.range(60).select("id", *[c.cast("double").alias(n) for n, c in columns.items()])
+            risk = [r.score for r in followup.risk(model, line).orderBy("id").collect()]
+            assert all(b >= a - 1e-12 for a, b in zip(risk, risk[1:])) and risk[-1] > risk[0]
+    out, fitted = followup.out_of_fold_fits(weighted.drop("oof_risk_3y"), folds=3, boost=boost)
+    assert out.count() == 600 and out.filter("oof_risk_3y is null or oof_risk_3y < 0 or oof_risk_3y > 1").count() == 0
+    report = followup.fit_report(spark, fitted).collect()
+    assert len(report) == 3 and all(r.rounds <= 40 and r.best_loss <= r.last_loss for r in report)
+    auc = lambda df: metrics.ranking_metrics(df, (), "y", "s", "ipcw_weight").first()["auc"]
+    parts = [steps_k.score(out.filter(f"fold = {k}").drop("score"), "s") for k in range(3)
+             for steps_k in [followup.fit_steps(out.filter(f"fold != {k}"), steps=8)]]
+    additive = auc(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+    trees = auc(out.withColumn("s", F.col("oof_risk_3y")))
+    assert trees > additive - 0.03
+    own = followup.out_of_fold(weighted.drop("oof_risk_3y"), folds=2, boost=replace(boost, rounds=3), per_fold=lambda df: df)
+    assert own.count() == 600 and own.filter("oof_risk_3y is null").count() == 0
 
 
 def test_calibration_of_true_risk(weighted):
