@@ -80,6 +80,11 @@ REDUCED_LOW = {k: v for k, v in SCORECARD_LOW.items() if k in ("", "age", "bmi")
 scorecard: Scorer = linear_scorer(SCORECARD_HIGH, SCORECARD_LOW)
 
 
+def reads_only_predictors(*weights: dict[str, float]) -> bool:
+    """Whether linear weights name nothing but predictors (the empty name is the intercept)."""
+    return {name for w in weights for name in w if name} <= set(K.PREDICTORS)
+
+
 def reduced_scorecard(prefix: str = "old_") -> Scorer:
     return linear_scorer(REDUCED_HIGH, REDUCED_LOW, prefix)
 

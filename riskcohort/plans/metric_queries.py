@@ -357,7 +357,8 @@ def trend_lines(spark, sf_dir):
     "and avg(p_high) filter (hypertension = 1) > avg(p_high) filter (hypertension = 0) as trends_ok from grid) v"
 ))
 def validation_verdict(spark, sf_dir):
-    verdict = ex.validation_verdict(_grid(spark, sf_dir))
+    interface = scoring.reads_only_predictors(scoring.SCORECARD_HIGH, scoring.SCORECARD_LOW)
+    verdict = ex.validation_verdict(_grid(spark, sf_dir), interface)
     return rounded(verdict.withColumn("reasons", F.concat_ws(",", "reasons")))
 
 

@@ -3,15 +3,17 @@ functions. Boosting runs up to its full number of rounds and stops by its held-o
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from riskcohort import constants as K
-from riskcohort.operators import features, followup as fu, importance, metrics as m, models, oversample, split, survival
+from riskcohort.operators import experiments as ex, features, followup as fu, importance, metrics as m, models, oversample, split, survival
 from riskcohort.operators.scoring import scorecard
 from riskcohort.plans.cohort_queries import stored_dataset
 from riskcohort.plans.metric_queries import folded_training, followup
 from riskcohort.plans.registry import query, rounded
-from riskcohort.session import cut_lineage
+from riskcohort.session import cut_lineage, ensure_checkpoint_dir
 
 TREES = 20
 
@@ -56,6 +58,21 @@ def diagnostic_pooled_cv(spark, sf_dir):
     return rounded(models.pooled_comparison(cut_lineage(scored)))
 
 
+@query("fitted_model_validation")
+def fitted_model_validation(spark, sf_dir):
+    """A boosted model is fitted on the training part, stored, read back, checked, and judged on the stress grid."""
+    people = stored_dataset(spark, sf_dir)
+    train = split.stratified_holdout(people).filter("not is_test")
+    candidate = next(c for c in models.diagnostic_candidates() if c.name == "regularised")
+    path = f"{ensure_checkpoint_dir(spark)}/model-{uuid.uuid4().hex}"
+    models.save_model(spark, models.fit(candidate, cut_lineage(train)), path)
+    model = models.load_model(spark, path)
+    grid = models.score(model, ex.profile_grid(ex.observed_backgrounds(people)))
+    verdict = ex.validation_verdict(grid, models.contract_holds(model)).withColumn("reasons", F.concat_ws(",", "reasons"))
+    summary = models.check_model(model)
+    return rounded(verdict.withColumns({"features": F.lit(",".join(summary["features"])), "rounds": F.lit(summary["params"]["rounds_grown"])}))
+
+
 @query("permutation_importance")
 def permutation_importance(spark, sf_dir):
     """Importance of each predictor to a forest, on held-out people."""
