@@ -246,7 +246,7 @@ def test_monotone_risk(spark, weighted):
 
     steps = followup.fit_steps(weighted, steps=8)
     assert (steps.model.coefficients.toArray()[:-1] >= 0).all()
-    boost = replace(followup.RISK, rounds=40, min_leaf=15, rate=0.1)
+    boost = replace(followup.RISK, rounds=15, min_leaf=15, rate=0.2)
     model = followup.fit_monotone(weighted, boost=boost)
     fixed = {"age": F.lit(50.0), "bmi": F.lit(26.0), "fpg_mmol_l": F.lit(5.5), "male": F.lit(1)}
     for name, low, step in (("age", 18, 1.0), ("bmi", 16, 0.5), ("fpg_mmol_l", 3.5, 0.06)):
@@ -258,7 +258,7 @@ def test_monotone_risk(spark, weighted):
     out, fitted = followup.out_of_fold_fits(weighted.drop("oof_risk_3y"), folds=3, boost=boost)
     assert out.count() == 600 and out.filter("oof_risk_3y is null or oof_risk_3y < 0 or oof_risk_3y > 1").count() == 0
     report = followup.fit_report(spark, fitted).collect()
-    assert len(report) == 3 and all(r.rounds <= 40 and r.best_loss <= r.last_loss for r in report)
+    assert len(report) == 3 and all(r.rounds <= 15 and r.best_loss <= r.last_loss for r in report)
     auc = lambda df: metrics.ranking_metrics(df, (), "y", "s", "ipcw_weight").first()["auc"]
     parts = [steps_k.score(out.filter(f"fold = {k}").drop("score"), "s") for k in range(3)
              for steps_k in [followup.fit_steps(out.filter(f"fold != {k}"), steps=8)]]
