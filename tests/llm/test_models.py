@@ -95,9 +95,21 @@ def test_language_of_odd_rows(docs, no_docs, spark):
     assert language.identify(no_docs, F.lit(True)).count() == 0
 
 
-def test_kneser_ney_sums_to_one():
-    grams = np.unique(language._grams(language._symbols("the cat sat on the mat and that was that")))
-    model = language.Model(["en"], [(grams, np.ones(len(grams), np.int64))])
+def _counts(spark, rows):
+    from pyspark.sql import functions as F
+    docs = spark.createDataFrame([(x, 0, t) for x, t in rows], "lang string, part int, text string")
+    return language.gram_counts(docs).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+
+
+def _model(learned):
+    t = learned.table.toArrow()
+    return language.Model(len(learned.languages), learned.uniform, *[t.column(c).to_numpy() for c in ("code", "gram", "at", "log")])
+
+
+def test_kneser_ney_sums_to_one(spark):
+    text = "the cat sat on the mat and that was that"
+    grams = np.unique(language._grams(language._symbols(text)))
+    model = _model(language.learn(_counts(spark, [("en", text)])))
     symbols = np.array([*range(97, 123), 32, 300], np.uint64)  # 300 is unseen
     context = np.uint64((32 << 48) | (116 << 32) | (104 << 16))
     p = np.exp(model.score(context | symbols)[:, 0])
@@ -105,6 +117,63 @@ def test_kneser_ney_sums_to_one():
     assert sum(x for s, x in zip(symbols.tolist(), p) if s in seen or s == 300) == pytest.approx(1, abs=1e-4)
 
 
+def _plain_kneser_ney(text, places, ending):
+    """Probability of the last symbol of ``ending``, by dictionaries of strings."""
+    from collections import Counter
+    padded = "  " + "".join(chr(c) for c in language._symbols(text))
+    tables = {4: Counter(padded[i:i + 4] for i in range(len(padded) - 3))}
+    for k in (3, 2, 1):
+        tables[k] = Counter(g[1:] for g in tables[k + 1])
+
+    def p(k):
+        if k == 0:
+            return 1 / places
+        g, table = ending[-k:], tables[k]
+        ones, twos = (sum(n == x for n in table.values()) for x in (1, 2))
+        d = ones / (ones + 2 * twos) if ones and twos else 0.5
+        after = {x: n for x, n in table.items() if x[:-1] == g[:-1]}
+        if not after:
+            return p(k - 1)
+        total = sum(after.values())
+        return max(after.get(g, 0) - d, 0) / total + d * len(after) / total * p(k - 1)
+
+    return p(4)
+
+
+def test_kneser_ney_equals_dictionaries(spark):
+    texts = {"a": "the cat sat on the mat and that was that, the end of the tale", "b": "der hund sah den mann und der mann den hund"}
+    learned = language.learn(_counts(spark, list(texts.items())))
+    model = _model(learned)
+    places = len(set("".join(texts.values())) - {","}) + 1
+    for ending in ("  th", " the", "that", "und ", "zzzz", "qthe", " der", "mann", "hatx"):
+        gram = np.array([sum(ord(c) << 16 * (3 - i) for i, c in enumerate(ending))], np.uint64)
+        got = np.exp(model.score(gram)[0].astype(float))
+        want = [_plain_kneser_ney(texts[x], places, ending) for x in learned.languages]
+        assert got == pytest.approx(want, rel=1e-4)
+
+
+def test_language_by_buckets_is_the_same(spark, small_dir):
+    from pyspark.sql import functions as F
+    docs = spark.read.parquet(f"{small_dir}/documents.parquet")
+    docs = docs.unionByName(docs.limit(3)).unionByName(docs.limit(2).withColumn("text", F.lit(None).cast("string")))
+    whole = language.identify(docs, F.lit(True)).collect()
+    parts = language.identify(docs, F.lit(True), whole_rows=0).collect()
+    key = lambda r: (r.doc_id, r.lang_pred, round(r.entropy or 0, 6), round(r.margin or 0, 6), round(r.score, 6), r.rejected)
+    assert sorted(map(key, whole)) == sorted(map(key, parts))
+
+
+def test_language_of_many_labels_or_one(spark):
+    from pyspark.sql import functions as F
+    rows = [(i, f"{'abcdefghij'[i % 10] * 3} {'klmnopqrst'[i // 10 % 10] * 3} {'uvwxyz'[i // 100 % 6] * 3}", f"l{i:03d}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language.identify(docs, F.lit(True)).collect()
+    assert np.mean([r.lang_pred == f"l{r.doc_id:03d}" for r in got]) > 0.95
+    one = language.identify(docs.withColumn("lang", F.lit("x")), F.lit(True)).collect()
+    assert {(r.lang_pred, r.margin) for r in one} == {("x", 0.0)}
+    twice = docs.limit(20).unionByName(docs.limit(20).withColumn("lang", F.lit("other")))
+    assert language.identify(twice, F.lit(True)).count() == 40
+
+
 def test_quality(spark):
     rng = np.random.default_rng(4)
     word = lambda: "".join(rng.choice(list("abcdefgh"), 4))
