@@ -206,7 +206,10 @@ def error_code_counts(spark, sf_dir):
 @query("alias_resolution", (
     "select submission_id, case age_case when 0 then x when 1 then x when 2 then x when 4 then y end as age, "
     "age_case <> 5 as age_present, case bmi_case when 0 then y when 1 then y end as bmi, "
-    "case glucose_case when 0 then z when 2 then z end as glucose from alias_bodies"
+    "case glucose_case when 0 then z when 2 then z end as glucose, "
+    "case sex_case when 0 then w when 1 then 'Male' when 2 then w end as sex, "
+    "case hba1c_case when 0 then v when 1 then v when 3 then v when 4 then concat('[', v, ',', w, ']') when 5 then 'true' end as hba1c "
+    "from alias_bodies"
 ))
 def alias_resolution(spark, sf_dir):
     """Which key supplies each value: presence decides, even when the value is null."""
@@ -218,6 +221,8 @@ def alias_resolution(spark, sf_dir):
         submissions.present(values, names["age"]).alias("age_present"),
         submissions.resolve(values, names["bmi"]).alias("bmi"),
         submissions.resolve(values, names["glucose"]).alias("glucose"),
+        submissions.resolve(values, names["sex"]).alias("sex"),
+        submissions.resolve(values, names["hba1c"]).alias("hba1c"),
     )
 
 

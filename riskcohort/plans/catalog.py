@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from riskcohort.plans import (  # noqa: F401
-    assessment_queries, cohort_queries, metric_queries, model_queries,
+    assessment_queries, cohort_queries, metric_queries, model_queries, reader_queries,
 )
 from riskcohort.plans import registry
 

@@ -124,8 +124,14 @@ FIXTURES = {
     # The same field under different names, present, null or absent.
     "alias_bodies": (
         "select event_id as submission_id, event_id % 6 as age_case, event_id % 3 as bmi_case, "
-        "event_id % 4 as glucose_case, cast(20 + event_id % 60 as string) as x, "
-        "cast(18 + event_id % 25 as string) as y, cast(70 + event_id % 70 as string) as z from {events}"
+        "event_id % 4 as glucose_case, event_id % 5 as sex_case, event_id % 7 as hba1c_case, "
+        "cast(20 + event_id % 60 as string) as x, cast(18 + event_id % 25 as string) as y, "
+        "cast(70 + event_id % 70 as string) as z, cast(4 + event_id % 9 as string) as v, "
+        "cast(1 + event_id % 2 as string) as w from {events}"
+    ),
+    # Requests of any JSON kind, by number.
+    "untyped_kinds": (
+        "select event_id as submission_id, event_id % 16 as kind, cast(20 + event_id % 60 as string) as x from {events}"
     ),
 }
 
@@ -193,7 +199,22 @@ def alias_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(c("glucose_case") == 1, F.concat_ws(",", pair("fasting_glucose_mgdl", null), pair("fasting_glucose", c("z"))))
         .when(c("glucose_case") == 2, pair("fasting_glucose_mgdl", c("z")))
     )
-    body = F.concat(F.lit("{"), F.concat_ws(",", age, bmi, glucose), F.lit("}"))
+    sex = (
+        F.when(c("sex_case") == 0, pair("sex", c("w")))
+        .when(c("sex_case") == 1, pair("Sex", F.lit('"Male"')))
+        .when(c("sex_case") == 2, pair("sx060_r", c("w")))
+        .when(c("sex_case") == 3, F.concat_ws(",", pair("sx060_r", c("w")), pair("sex", null)))
+    )
+    # Lists and booleans are shown as they stand.
+    hba1c = (
+        F.when(c("hba1c_case") == 0, pair("hba1c_pct", c("v")))
+        .when(c("hba1c_case") == 1, pair("hba1c", c("v")))
+        .when(c("hba1c_case") == 2, F.concat_ws(",", pair("hba1c", c("v")), pair("hba1c_pct", null)))
+        .when(c("hba1c_case") == 3, F.concat_ws(",", pair("hba1c", c("w")), pair("hba1c_pct", c("v"))))
+        .when(c("hba1c_case") == 4, pair("hba1c", F.concat(F.lit("["), c("v"), F.lit(","), c("w"), F.lit("]"))))
+        .when(c("hba1c_case") == 5, pair("hba1c_pct", F.lit("true")))
+    )
+    body = F.concat(F.lit("{"), F.concat_ws(",", age, bmi, sex, glucose, hba1c), F.lit("}"))
     return raw.select("submission_id", body.alias("body"))
 
 
