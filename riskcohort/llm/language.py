@@ -27,10 +27,10 @@ ORDER = 4
 # Rows of the table up to which every task gets it whole, about 16 bytes each; beyond, buckets of texts fetch their part.
 WHOLE_ROWS = 1 << 22
 BUCKET_CHARS = 1 << 24
-GROUP_CHARS, GROUP_TEXTS = 1 << 20, 1 << 12
+GROUP_CHARS, GROUP_TEXTS = 1 << 18, 1 << 12
 # Grams that a task counts before it passes them on, and numbers (grams times languages) that it scores at once.
-TASK_GRAMS = 1 << 20
-CELLS = 1 << 23
+TASK_GRAMS = 1 << 19
+CELLS = 1 << 21
 # One in so many labelled texts is for calibration.
 FOLDS = 5
 BINS = 40
@@ -75,6 +75,11 @@ def _grams(s: np.ndarray) -> np.ndarray:
     return out
 
 
+def _read(texts: pa.Array) -> Iterator[str | None]:
+    """The texts of a column one by one, so that a task does not hold all of a batch twice."""
+    return (t.as_py() for t in texts)
+
+
 def _groups(texts: Iterator[tuple[object, str | None]]) -> Iterator[list[tuple[object, np.ndarray]]]:
     held, size = [], 0
     for key, text in texts:
@@ -103,7 +108,7 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
 
         for b in batches:
             keys = zip(b.column("lang").to_pylist(), b.column("part").to_pylist())
-            for group in _groups(zip(keys, b.column("text").to_pylist())):
+            for group in _groups(zip(keys, _read(b.column("text")))):
                 by: dict[Key, list[np.ndarray]] = {}
                 for key, s in group:
                     if len(s):
@@ -215,11 +220,11 @@ class Model:
             out[rows, at] = log
         return out
 
-    def rate(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def rate(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Number of the best language, its cross-entropy and the margin to the second best; NaN without letters."""
         best, entropy, margin = np.zeros(len(texts), np.int64), np.full(len(texts), np.nan), np.full(len(texts), np.nan)
         most = max(1024, CELLS // self.languages)
-        for group in _groups(enumerate(texts)):
+        for group in _groups(enumerate(_read(texts))):
             group = [(i, _grams(s)) for i, s in group if len(s)]
             if not group:
                 continue
@@ -250,7 +255,7 @@ def _by_whole(rows: DataFrame, learned: Learned) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            best, entropy, margin = shipped.value.rate(b.column("text").to_pylist())
+            best, entropy, margin = shipped.value.rate(b.column("text"))
             none = np.isnan(entropy)
             found = [pa.array(best, pa.int32(), mask=none), pa.array(entropy, mask=none), pa.array(margin, mask=none)]
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], *found], [*kept, "best", "entropy", "margin"])
@@ -291,7 +296,7 @@ def _by_buckets(rows: DataFrame, learned: Learned, chars: int = BUCKET_CHARS) ->
                 yield from wanted(last, held)
                 held = held[:0]
             last = bucket
-            for group in _groups(enumerate(b.column("text").to_pylist())):
+            for group in _groups(enumerate(b.column("text"))):
                 held = np.unique(np.concatenate([held, *[_grams(s) for _, s in group if len(s)]]))
         if last is not None:
             yield from wanted(last, held)
@@ -318,7 +323,7 @@ def _by_buckets(rows: DataFrame, learned: Learned, chars: int = BUCKET_CHARS) ->
                 empty = [np.empty(0, d) for d in (np.int32, np.int64, np.int32, np.float32)]
                 model = Model(languages, uniform, *[np.concatenate(x) for x in zip(empty, *held)])
                 held = []
-            best, entropy, margin = model.rate(b.column("text").to_pylist())
+            best, entropy, margin = model.rate(b.column("text"))
             none = np.isnan(entropy)
             yield batch(rated, text_key=b.column("text_key"), best=pa.array(best, pa.int32(), mask=none),
                         entropy=pa.array(entropy, mask=none), margin=pa.array(margin, mask=none))
