@@ -11,7 +11,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from riskcohort.llm import mixing, near_copies, packing, quality, suffix_dedup, token_counts
+from riskcohort.llm import mixing, packing, quality, simhash, suffix_dedup, token_counts
 from riskcohort.llm.common import table
 from riskcohort.session import ensure_checkpoint_dir
 
@@ -39,10 +39,10 @@ def _found(docs: DataFrame, found: DataFrame, how: str = "inner") -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of texts that share 0.8 of their five-word shingles, directly or over others: the smallest
-    id (null last), of one id the smallest hash of the text. Rows that repeat with id and text are one, the first by its
+    """One row of each group of texts whose SimHash fingerprints differ in at most three bits, directly or over others: the
+    smallest id (null last), of one id the smallest hash of the text. Rows that repeat with id and text are one, the first by its
     JSON; texts without words, null or not, are one group. No documents give none."""
-    kept = _found(docs, near_copies.first_of_groups(docs))
+    kept = _found(docs, simhash.first_of_groups(docs))
     once = kept.filter("n > 1").groupBy("id", "key").agg(F.min_by("row", F.to_json("row")).alias("row"))
     return kept.filter("n = 1").select("row.*").unionByName(once.select("row.*"))
 

@@ -202,3 +202,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     smallest = labelled.groupBy("root").agg(F.min("first_doc").alias("component_id"))
     groups = labelled.join(smallest, "root").select("fp", "component_id")
     return prints.join(groups, "fp").select("doc_id", "fp", "component_id")
+
+
+def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE,
+                    most: int = LINK_BITS) -> DataFrame:
+    """``doc_id, text_key, n``: one row per group of linked fingerprints, with how many rows share its id and text.
+
+    The group's row has the smallest id (null comes last), then the smallest ``text_key``, the xxhash64 of the text (null
+    as empty). Null and wordless texts are one group. An empty table gives an empty result. Runs jobs: the
+    fingerprints and the rounds of the components are checkpointed.
+    """
+    rows = id_and_text(docs, id_col, text_col).withColumn("text_key", F.xxhash64("text"))
+    prints = (fingerprints(rows, "text_key", "text", words).withColumnRenamed("doc_id", "text_key")
+              .groupBy("text_key").agg(F.min("fp").alias("fp")))
+    keys = rows.groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).join(prints, "text_key")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "n")
+    points = cut_lineage(keys.groupBy("fp").agg(F.min(first).alias("first")))
+    parts = connected(links(points.select("fp"), most).toDF("u", "v"))
+    grouped = (points.join(parts.withColumnsRenamed({"node": "fp"}), "fp", "left")
+               .groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first")))
+    return grouped.select("first.doc_id", "first.text_key", "first.n")

@@ -104,3 +104,24 @@ def test_bitmap_of_wanted_rows(spark):
         found = near_copies._wanted(rows, keys, most)
         assert keys.join(found, ["doc_id", "text_key"]).count() == 200
         assert found.count() < (5000 if most > 1 << 20 else 20001)
+
+
+def test_near_copies_are_those_of_the_fingerprints(spark, tmp_path):
+    from riskcohort.llm import simhash
+
+    def apart(a, b):
+        return ((simhash._fingerprint(a.encode(), 3) ^ simhash._fingerprint(b.encode(), 3)) & (2 ** 64 - 1)).bit_count()
+
+    base = [f"w{i}" for i in range(120)]
+    texts = [" ".join(base)] + [" ".join([*base[:i], "x", *base[i + 1:]]) for i in range(0, 120, 4)]
+    left, want = list(range(len(texts))), []
+    while left:  # groups by plain search; the first of each has the smallest id
+        group = [left.pop(0)]
+        want.append(group[0])
+        for i in group:
+            near = [j for j in left if apart(texts[i], texts[j]) <= 3]
+            group += near
+            left = [j for j in left if j not in near]
+    assert 1 < len(want) < len(texts)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, str(tmp_path)).collect()) == want
