@@ -132,6 +132,46 @@ def test_boosting_stops_on_noise(spark):
     assert empty.trees and empty.losses == []
 
 
+def test_shared_columns_of_codes_give_sums_and_sides_by_feature():
+    from riskcohort.operators import boosting as hist
+
+    rng = np.random.default_rng(14)
+    feats = [hist.Feature("a", "numeric", tuple(np.linspace(0, 1, 127))), hist.Feature("a", "missing"),
+             *[hist.Feature("b", "onehot", (float(v),), 3.0) for v in range(300)], hist.Feature("c", "ordinal", (1.0, 2.0, 4.0), 2.0),
+             *[hist.Feature("c", "onehot", (v,), 2.0) for v in (1.0, 2.0)]]
+    raw = {"a": np.where(rng.uniform(size=2000) < 0.1, np.nan, rng.uniform(size=2000)), "b": rng.integers(0, 310, 2000).astype(float),
+           "c": rng.choice([1.0, 2.0, 3.0, 4.0, np.nan], 2000)}
+    layout, w = hist.Layout(feats), rng.uniform(size=2000)
+    packs, codes = hist.Packs(layout), layout.codes(raw).astype(int)
+    columns = packs.codes(raw)
+    assert len(columns) < 6 and all(c.dtype == np.uint8 for c in columns)
+    for i, f in enumerate(feats):
+        for at in range(f.bins):
+            assert np.array_equal(packs.below(i, at)[columns[packs.pack[i]]], codes[:, i] <= at)
+    sums = packs.places([np.bincount(c, w, n) for c, n in zip(columns, packs.sizes)])
+    assert np.allclose(sums, np.concatenate([np.bincount(codes[:, i], w, f.bins) for i, f in enumerate(feats)]))
+
+
+def test_a_level_sums_one_child_of_two(spark, monkeypatch):
+    from riskcohort.operators import boosting as hist
+
+    rng = np.random.default_rng(15)
+    df = spark.createDataFrame([(i, float(rng.normal()), int(rng.integers(0, 2))) for i in range(600)], "id long, a double, y int").repartition(40)
+    sizes, summed = [], hist._summed
+
+    def seen(blocks, counts, size, parts):
+        sizes.append((size, parts))
+        return summed(blocks, counts, size, parts)
+
+    monkeypatch.setattr(hist, "_summed", seen)
+    boost = hist.Boost(rounds=1, leaves=4, patience=0, loss="logistic")
+    places = 6
+    found = hist.fit(df, [hist.Task("m", boost, [hist.Feature("a", "numeric", (-1.0, -0.5, 0.0, 0.5, 1.0))], F.lit(True))], F.col("y"), ["id"], classes=2)
+    assert sum(f < 0 for f in found.models[0].trees[0][0].feature) == 4
+    # First scores; the root, one child of two, and the loss after the round.
+    assert sizes == [(2, 1), (3 * places + 2, 1), (3 * places + 2, 1), (2, 1)]
+
+
 def test_unknown_category_codes(people):
     rows = features.numeric_predictors(people)
     unseen = rows.limit(1).withColumn("race_ethnicity", F.lit(5.0))
