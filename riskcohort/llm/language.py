@@ -31,6 +31,8 @@ GROUP_CHARS, GROUP_TEXTS = 1 << 18, 1 << 12
 # Grams that a task counts before it passes them on, and numbers (grams times languages) that it scores at once.
 TASK_GRAMS = 1 << 19
 CELLS = 1 << 21
+# Rows of grams in a partition while a model is learned.
+PART_ROWS = 1 << 16
 # One in so many labelled texts is for calibration.
 FOLDS = 5
 BINS = 40
@@ -148,16 +150,19 @@ def learn(counts: DataFrame) -> Learned | None:
 
     All grams count: frequencies for order four, numbers of different symbols before for the shorter ones. The discount of
     a language and order is ``n1 / (n1 + 2 n2)``, or a half where no gram occurs once or none twice. Symbols that no
-    language has share one place. The driver gets the list of languages.
+    language has share one place. The driver gets the list of languages. Tables are kept in partitions by their number of
+    rows, however many the texts or shuffles have: each partition is small files in every shuffle and checkpoint.
     """
     spark = counts.sparkSession
-    languages = [r[0] for r in counts.select("lang").distinct().orderBy("lang").collect()]
+    sizes = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row per language
+    languages = sorted(sizes)
     if not languages:
         return None
-    orders = {ORDER: counts.select("lang", "gram", "n")}
+    dealt = sum(sizes.values()) // PART_ROWS + 1
+    orders = {ORDER: cut_lineage(counts.select("lang", "gram", "n").coalesce(dealt))}
     for k in range(ORDER - 1, 0, -1):
         ending = F.col("gram").bitwiseAND(F.lit(_mask(k))).alias("gram")
-        orders[k] = cut_lineage(orders[k + 1].groupBy("lang", ending).agg(F.count("*").alias("n")))
+        orders[k] = cut_lineage(orders[k + 1].groupBy("lang", ending).agg(F.count("*").alias("n")).coalesce(dealt))
     places = orders[1].agg(F.count_distinct("gram")).first()[0] + 1
     below, parts = None, []
     for k in range(1, ORDER + 1):
@@ -167,20 +172,21 @@ def learn(counts: DataFrame) -> Learned | None:
             F.when((ones > 0) & (twos > 0), ones / (ones + 2 * twos)).otherwise(0.5).alias("discount"))
         contexts = (found.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
                     .join(discounts, "lang").withColumn("rest", F.expr("discount * kinds / total")))
-        joined = found.join(contexts, ["lang", "context"])
+        joined = found.join(contexts, ["lang", "context"]).coalesce(dealt)
         if k == 1:
             joined = joined.withColumn("lower", F.lit(1 / places))
         else:
             joined = joined.withColumn("ending", F.col("gram").bitwiseAND(F.lit(_mask(k - 1)))).join(
                 below.select("lang", F.col("gram").alias("ending"), F.col("p").alias("lower")), ["lang", "ending"])
-        below = cut_lineage(joined.select("lang", "gram", F.expr("(n - discount) / total + rest * lower").alias("p")))
+        below = cut_lineage(joined.select("lang", "gram", F.expr("(n - discount) / total + rest * lower").alias("p")).coalesce(dealt))
         parts.append(below.select(F.lit(k).alias("code"), "lang", "gram", F.log("p").alias("log")))
         parts.append(contexts.select(F.lit(8 + k).alias("code"), "lang", F.col("context").alias("gram"), F.log("rest").alias("log")))
     table = parts[0]
     for part in parts[1:]:
         table = table.unionByName(part)
     numbers = spark.createDataFrame([(x, i) for i, x in enumerate(languages)], "lang string, at int")
-    table = cut_lineage(table.join(numbers, "lang").select("code", "gram", "at", F.col("log").cast("float").alias("log")))
+    table = cut_lineage(table.join(numbers, "lang").select("code", "gram", "at", F.col("log").cast("float").alias("log"))
+                        .coalesce(2 * dealt))
     return Learned(languages, table, table.count(), -math.log(places))
 
 
@@ -296,7 +302,7 @@ def _by_buckets(rows: DataFrame, learned: Learned, chars: int = BUCKET_CHARS) ->
                 yield from wanted(last, held)
                 held = held[:0]
             last = bucket
-            for group in _groups(enumerate(b.column("text"))):
+            for group in _groups(enumerate(_read(b.column("text")))):
                 held = np.unique(np.concatenate([held, *[_grams(s) for _, s in group if len(s)]]))
         if last is not None:
             yield from wanted(last, held)

@@ -162,6 +162,20 @@ def test_language_by_buckets_is_the_same(spark, small_dir):
     assert sorted(map(key, whole)) == sorted(map(key, parts))
 
 
+def test_language_tables_have_few_partitions(spark):
+    """However many partitions shuffles have: each of them is small files in every checkpoint and shuffle."""
+    kept = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", 40)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        learned = language.learn(_counts(spark, [("en", "one two three"), ("fr", "un deux trois")]))
+    finally:
+        for c, v in kept.items():
+            spark.conf.set(c, v)
+    assert learned.rows > 40
+    assert learned.table.rdd.getNumPartitions() <= 2
+
+
 def test_language_of_many_labels_or_one(spark):
     from pyspark.sql import functions as F
     rows = [(i, f"{'abcdefghij'[i % 10] * 3} {'klmnopqrst'[i // 10 % 10] * 3} {'uvwxyz'[i // 100 % 6] * 3}", f"l{i:03d}") for i in range(300)]
