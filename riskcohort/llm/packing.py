@@ -10,61 +10,64 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from riskcohort.llm.common import batch, id_and_text, shuffle_partitions, texts_as_bytes
+from riskcohort.llm.common import batch, id_and_text, shuffle_partitions
 from riskcohort.llm.token_counts import WordEncoder
 from riskcohort.session import cut_lineage
 
 WINDOW = 4096
 NO_ID = -(1 << 63)
+# Pieces of cut documents up to which they are broadcast, 72 bytes each.
+CUT_ROWS = 1 << 16
 
 
-class WordIds(dict):
-    """Token ids (little-endian unsigned 32 bits) of words. Of more than ``bound`` words, those not used again are
-    forgotten first."""
+class WordIds:
+    """Token ids (little-endian unsigned 32 bits) of texts. Of more than ``bound`` words and of their pre-tokens, those not
+    used again are forgotten first."""
 
     def __init__(self, path: str, bound: int = 500_000) -> None:
-        super().__init__()
-        self.encoder, self.bound, self.older = WordEncoder(path), bound, {}
-
-    def of(self, texts: list[bytes]) -> Iterator[bytes]:
-        """Ids of each text: white space is dropped by the tokenizer, so words can be looked up one by one."""
-        split = [t.split() for t in texts]
-        if len(self) > self.bound:
-            self.older = dict(self)
-            self.clear()
-        new = [w for w in set().union(*split) if w not in self]
+        self.encoder, self.bound, self.known, self.older = WordEncoder(path), bound, {}, {}
+
+    def of(self, texts: pa.Array) -> Iterator[bytes]:
+        """Ids of each text: white space is dropped by the tokenizer, so words can be looked up one by one. Arrow cuts the
+        texts, finds the different words of a group of texts and lays their ids side by side."""
+        for group in _groups(texts):
+            words = pc.ascii_split_whitespace(group)
+            coded = words.flatten().dictionary_encode()
+            ids = pa.array(self._ids(coded.dictionary.to_pylist()), pa.large_binary()).take(coded.indices)
+            ends = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1, ids.offset * 8)
+            data = memoryview(ids.buffers()[2] or b"")
+            at = ends[words.offsets.to_numpy() - words.offsets[0].as_py()].tolist()
+            for start, stop in zip(at, at[1:]):
+                yield bytes(data[start:stop])
+
+    def _ids(self, words: list[str]) -> list[bytes]:
+        if len(self.known) > self.bound:
+            self.older, self.known = self.known, {}
+        new = [w for w in words if w not in self.known]
         if self.older:
-            known = [w for w in new if w in self.older]
-            self.update(zip(known, map(self.older.__getitem__, known)))
-            new = [w for w in new if w not in self]
+            again = [w for w in new if w in self.older]
+            self.known.update(zip(again, map(self.older.__getitem__, again)))
+            new = [w for w in new if w not in self.known]
         for start in range(0, len(new), 20_000):
             some = new[start:start + 20_000]
-            found = self.encoder.ids([w.decode() for w in some])
-            ids = np.fromiter(chain.from_iterable(found), "<u4").tobytes()
-            ends = np.cumsum([4 * len(x) for x in found]).tolist()
-            self.update(zip(some, (ids[i:j] for i, j in zip([0, *ends], ends))))
-        get = self.__getitem__
-        for words in split:
-            yield b"".join(map(get, words))
-
-
-def _groups(texts: Iterator[bytes], size: int = 1 << 20) -> Iterator[list[bytes]]:
-    """Lists of about ``size`` bytes of texts, to bound what a look-up holds at once."""
-    held, total = [], 0
-    for t in texts:
-        held.append(t)
-        total += len(t)
-        if total >= size:
-            yield held
-            held, total = [], 0
-    if held:
-        yield held
+            self.known.update(zip(some, self.encoder.packed(some)))
+        return [self.known[w] for w in words]
+
+
+def _groups(texts: pa.Array, size: int = 1 << 22) -> Iterator[pa.Array]:
+    """Slices of about ``size`` bytes of texts, to bound what a look-up holds at once."""
+    texts = pc.fill_null(texts, "")
+    number = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)) // size
+    edges = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), len(texts)]
+    for start, stop in zip(edges, edges[1:]):
+        if stop > start:
+            yield texts.slice(start, stop - start)
 
 
 # ---- the plan, over a histogram of at most ``window`` - 1 lengths ----
@@ -192,11 +195,10 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, window: int = WI
         ids = WordIds(tokenizer_path)
         for b in batches:
             tokens, crcs = [], []
-            for texts in _groups(texts_as_bytes(b.column("text"))):
-                for found in ids.of(texts):
-                    found += end
-                    tokens.append(len(found) // 4)
-                    crcs.append([zlib.crc32(found[i:i + 4 * window]) for i in range(0, len(found), 4 * window)])
+            for found in ids.of(b.column("text")):
+                found += end
+                tokens.append(len(found) // 4)
+                crcs.append([zlib.crc32(found[i:i + 4 * window]) for i in range(0, len(found), 4 * window)])
             yield batch(schema, doc_id=b.column("doc_id"), id_key=b.column("id_key"), text_key=b.column("text_key"),
                         tokens=tokens, crcs=crcs)
 
@@ -280,13 +282,15 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, window: int = WI
         ids = WordIds(tokenizer_path)
         for b in batches:
             found, at = [], zip(b.column("start").to_pylist(), b.column("length").to_pylist())
-            for texts in _groups(texts_as_bytes(b.column("text"))):
-                for t, (start, length) in zip(ids.of(texts), at):
-                    found.append(zlib.crc32((t + end)[4 * start:4 * (start + length)]))
+            for t, (start, length) in zip(ids.of(b.column("text")), at):
+                found.append(zlib.crc32((t + end)[4 * start:4 * (start + length)]))
             yield batch(piece, **{n: b.column(n) for n in piece.names if n != "ids_crc32"}, ids_crc32=found)
 
-    # Texts that repeat with their id meet each piece more than once.
-    again = (placed.filter("ids_crc32 < 0").join(rows.select("id_key", "text_key", "text"), ["id_key", "text_key"])
+    # Texts that repeat with their id meet each piece more than once. Few pieces go to the texts, so that these are not shuffled.
+    unknown = placed.filter("ids_crc32 < 0")
+    if unknown.count() <= CUT_ROWS:
+        unknown = F.broadcast(unknown)
+    again = (unknown.join(rows.select("id_key", "text_key", "text"), ["id_key", "text_key"])
              .select(*piece.names, "text").mapInArrow(check, piece_ddl).dropDuplicates(["sequence_id", "offset"]))
     out = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     return placed.filter("ids_crc32 >= 0").select(out).unionByName(again.select(out)).unionByName(whole.select(out))

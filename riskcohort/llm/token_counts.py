@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from functools import cache
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,8 @@ from riskcohort.llm.common import SPACE, batch, id_and_text
 FREQUENT = 1 << 18
 FREQUENT_BYTES = 64
 SHOWN = 16
+# Pre-tokens whose ids a task keeps at most.
+PARTS = 250_000
 
 @cache
 def tokenizer(path: str):
@@ -57,6 +60,14 @@ def _byte_characters() -> dict[int, int]:
     return {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in kept)}
 
 
+@cache
+def _splits(path: str) -> bool:
+    """Whether ``WordEncoder`` can split words itself; the file is parsed once per process."""
+    form = json.loads(tokenizer(path).to_str())
+    return form["normalizer"] == _NORMALIZER and form["pre_tokenizer"] == _PRE_TOKENIZER and all(
+        t["content"].startswith("<|") for t in form["added_tokens"])
+
+
 class WordEncoder:
     """Token ids of words without white space.
 
@@ -65,11 +76,9 @@ class WordEncoder:
     """
 
     def __init__(self, path: str) -> None:
-        self.whole = tokenizer(path)
-        form = json.loads(self.whole.to_str())
-        self.split = form["normalizer"] == _NORMALIZER and form["pre_tokenizer"] == _PRE_TOKENIZER and all(
-            t["content"].startswith("<|") for t in form["added_tokens"])
+        self.whole, self.split = tokenizer(path), _splits(path)
         self.cut, self.table = regex.compile(_PATTERN), _byte_characters()
+        self.parts: dict[str, bytes] = {}
 
     def ids(self, words: list[str]) -> list[list[int]]:
         if self.split and words:
@@ -98,6 +107,36 @@ class WordEncoder:
                 else [i for p in cut[w] for i in known[p]] for w in words]
 
 
+    def packed(self, words: list[str]) -> list[bytes]:
+        """As :meth:`ids`, each as little-endian unsigned 32 bits. Pre-tokens of plain words are kept for the next call."""
+        plain = words
+        if not self.split or "<|" in (joined := "\n".join(words)) or not _PLAIN.fullmatch(joined):
+            plain = [w for w in words if "<|" not in w and "\n" not in w and _PLAIN.fullmatch(w)] if self.split else []
+        if len(plain) == len(words):
+            return self._plain_packed(plain)
+        found = dict(zip(plain, self._plain_packed(plain)))
+        rest = [w for w in words if w not in found]
+        found.update(zip(rest, _laid(self._library(rest))))
+        return [found[w] for w in words]
+
+    def _plain_packed(self, words: list[str]) -> list[bytes]:
+        lower = "\n".join(words).lower().split("\n") if words else []
+        cut = {w: self.cut.findall(w) for w in lower if not w.isalpha()}
+        if len(self.parts) > PARTS:
+            self.parts.clear()
+        known, tokenize = self.parts, self.whole.model.tokenize
+        for w in lower:
+            for p in cut[w] if w in cut else (w,):
+                if p not in known:
+                    mapped = p if p.isascii() else p.encode().decode("latin-1").translate(self.table)
+                    known[p] = pack(f"<{len(found := tokenize(mapped))}I", *[t.id for t in found])
+        return [known[w] if w not in cut else b"".join([known[p] for p in cut[w]]) for w in lower]
+
+
+def _laid(ids: list[list[int]]) -> list[bytes]:
+    return [np.array(x, "<u4").tobytes() for x in ids]
+
+
 def _counter(path: str):
     """Numbers of tokens of a list of pre-tokens."""
     encoder = WordEncoder(path)

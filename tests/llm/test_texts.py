@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -234,3 +235,33 @@ def test_plan_places_a_shared_length():
     counts[3000], counts[1096], counts[100] = 1000, 400, 5
     slots, taken, sequences = packing.plan(counts, 4096)
     assert sequences >= 400 and taken[3000] >= 400 and (taken <= counts).all()
+
+
+def test_packed_ids_are_those_of_the_whole_text():
+    """Across groups of texts, with words known from before; a slice of a column, nulls and odd white space."""
+    texts = ["skip", "The end. the END, <|endoftext|> 中文 ça", None, "", " \t\x0b\x0c\r\n", "\x1c a\x1db\x85c ",
+             " the end ", "x" * 3000, "end the."] * 2
+    ids, whole = packing.WordIds(PATH, bound=4), token_counts.tokenizer(PATH)
+    column = pa.array(texts).slice(1)
+    want = [np.array(whole.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts[1:]]
+    assert list(ids.of(column)) == want
+    assert list(ids.of(column)) == want and ids.older
+    words = ["The", "end.", "中文", "<|endoftext|>", "ça", "the"]
+    encoder = token_counts.WordEncoder(PATH)
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.packed(words)] == encoder.ids(words)
+    assert {"the", "end", "."} <= encoder.parts.keys() and encoder.packed([]) == []
+
+
+@pytest.mark.parametrize("most", [0, packing.CUT_ROWS])
+def test_cut_documents_are_packed_alike(docs, odd_docs, texts, monkeypatch, most):
+    """Pieces of cut documents meet their texts by a broadcast or by a shuffle."""
+    monkeypatch.setattr(packing, "CUT_ROWS", most)
+    rows = packing.pack(docs, PATH, window=64).collect()
+    whole = token_counts.tokenizer(PATH)
+    for i, t in texts:
+        ids = np.array([*whole.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
+        mine = sorted((r for r in rows if r.doc_id == i), key=lambda r: r.start)
+        assert [r.start for r in mine] == [0, *np.cumsum([r.length for r in mine]).tolist()[:-1]]
+        assert all(r.ids_crc32 == zlib.crc32(ids[r.start:r.start + r.length].tobytes()) for r in mine)
+        assert sum(r.length for r in mine) == len(ids)
+    assert sum(r.doc_tokens == r.length for r in packing.pack(odd_docs, PATH).collect()) > 0
