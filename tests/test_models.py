@@ -4,7 +4,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from riskcohort import constants as K
-from riskcohort.operators import features, followup, importance, models, oversample
+from riskcohort.operators import features, followup, importance, metrics, models, oversample
 from riskcohort.operators.scoring import linear_scorer
 from riskcohort.sources.tables import ContractError
 
@@ -253,6 +253,36 @@ def test_oversampling_balances_classes(spark):
     assert all(np.allclose(v.toArray(), [0.5, 0.5, 0.0]) for v in same)
 
 
+def test_importance_scores_changed_copies_only(spark):
+    """As with every copy scored; rows repeat, have nulls, and a predictor that never changes."""
+    values = lambda i: {"age": 20 + i % 7 * 9, "bmi": None if i % 5 == 0 else 20.0 + i % 4 * 6}
+    rows = [(i // 2, ["High", "Low", "Moderate", None][i % 4], *[float("nan") if p == "sex" and i == 3 else
+             values(i).get(p, float(i % 2) if p == "smoking_status" else 1.0) for p in K.PREDICTORS]) for i in range(60)]
+    rows = [(a, b, *[None if x is None else float(x) for x in c]) for a, b, *c in rows]
+    test = spark.createDataFrame(rows, "id long, y_true string, " + ", ".join(f"`{p}` double" for p in K.PREDICTORS))
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def label(age, bmi, smoking):
+        seen.add(1)
+        return "High" if age > 50 and smoking else "Low" if bmi is None or bmi < 30 else "Moderate"
+
+    def scorer(df):
+        return df.withColumn("y_pred", label("age", "bmi", "smoking_status"))
+
+    got = {r.feature: r for r in importance.permutation_importance(test, scorer, 2).collect()}
+    assert set(got) == set(K.PREDICTORS) and seen.value < 60 * (1 + 2 * len(K.PREDICTORS)) * 0.6
+    copies = scorer(importance.permuted_copies(test, 2))
+    keys = ("feature", "repeat")
+    after = metrics.macro_metrics(metrics.confusion(copies, keys), keys).collect()
+    before = metrics.macro_metrics(metrics.confusion(scorer(test))).first().macro_f1
+    for p in K.PREDICTORS:
+        drops = [before - r.macro_f1 for r in after if r.feature == p]
+        assert len(drops) == 2 and got[p].importance_mean == pytest.approx(sum(drops) / 2, abs=1e-12)
+        assert got[p].importance_std == pytest.approx(abs(drops[0] - drops[1]) / 2, abs=1e-12)
+    assert importance.permutation_importance(test.limit(0), scorer, 2).count() == 0
+
+
 def test_permuted_copies_only_swap_one_feature(people):
     test = people.withColumns({"id": F.col("SEQN"), "y_true": F.col(K.TARGET)})
     copies = importance.permuted_copies(test, repeats=2)
