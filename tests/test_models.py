@@ -172,6 +172,39 @@ def test_a_level_sums_one_child_of_two(spark, monkeypatch):
     assert sizes == [(2, 1), (3 * places + 2, 1), (3 * places + 2, 1), (2, 1)]
 
 
+def test_ended_models_leave_the_blocks(spark, monkeypatch):
+    """A model of fewer rounds does not travel on, nor do its codes; its scores are there at the end. Sums meet by slices."""
+    from riskcohort.operators import boosting as hist
+
+    monkeypatch.setattr(hist, "TASK", 300)
+    monkeypatch.setattr(hist, "AT_ONCE", 1)
+    monkeypatch.setattr(hist, "SLICE", 7)
+    monkeypatch.setattr(hist, "STORED_EVERY", 3)
+    rng = np.random.default_rng(16)
+    a = rng.normal(size=600)
+    rows = [(i, float(a[i]), int(a[i] + rng.normal() > 0)) for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, a double, y int").repartition(5)
+    states, updated = [], hist._updated
+
+    def seen(*args):
+        states.append(updated(*args))
+        return states[-1]
+
+    monkeypatch.setattr(hist, "_updated", seen)
+    tasks = [hist.Task(str(n), hist.Boost(rounds=n, leaves=4, patience=0, loss="logistic"), [hist.Feature("a", "numeric", cuts)], F.col("id") % 3 != n % 3)
+             for n, cuts in ((2, (-1.0, 0.0, 1.0)), (5, (-0.5, 0.5)))]
+    found = hist.fit(df, tasks, F.col("y"), ["id"], classes=2)
+    assert [len(m.trees) for m in found.models] == [2, 5]
+    held = states[-1].collect()
+    assert len(held) > 1
+    assert all(b["scores"][0] is None and b["codes"][0] is None and b["scores"][1] is not None for b in held)
+    scored = {(r.model, r.id): r.probability for r in found.scored().collect()}
+    assert set(scored) == {(m, i) for m, n in ((0, 2), (1, 5)) for i in range(600) if i % 3 == n % 3}
+    for m in (0, 1):
+        direct = hist.probabilities(found.models[m].scores({"a": a}, 600), "logistic")
+        assert all(np.allclose(p, direct[i]) for (k, i), p in scored.items() if k == m)
+
+
 def test_unknown_category_codes(people):
     rows = features.numeric_predictors(people)
     unseen = rows.limit(1).withColumn("race_ethnicity", F.lit(5.0))
