@@ -264,6 +264,28 @@ def test_neighbours_over_many_cells(spark, monkeypatch, cell):
         assert [(e.vid, e.copies) for e in got[r.vid].near[:n]] == [o[1:] for o in others[:n]]
 
 
+def test_names_are_not_compared_pair_by_pair():
+    from riskcohort.operators import oversample
+
+    class Name(str):
+        compared = 0
+        __hash__ = str.__hash__
+
+        def __eq__(self, other):
+            Name.compared += 1
+            return str.__eq__(self, other)
+
+    rng = np.random.default_rng(17)
+    vec = rng.integers(0, 9, (300, 3)).astype(float)
+    names = np.array([Name(f"v{i:03}") for i in range(300)], object)
+    found = dict(oversample._nearest(vec, names, np.full(300, np.inf), vec, names, np.ones(300, np.int64), 4))
+    assert Name.compared <= 300
+    for i, near in found.items():
+        d2 = ((vec - vec[i]) ** 2).sum(axis=1)
+        want = sorted((d2[j], names[j]) for j in range(300) if j != i)[:4]
+        assert [(d, n) for d, n, _ in near] == want
+
+
 def test_oversampling_of_vectors_that_classes_share(spark):
     """Every lacking row is made, also from a vector of two minority classes."""
     rng = np.random.default_rng(9)
