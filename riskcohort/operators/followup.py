@@ -87,7 +87,7 @@ def fit_monotone(train: DataFrame, y: str = "y", w: str = "ipcw_weight", boost:
     """Weighted boosted trees of the risk, non-decreasing in age, BMI and glucose."""
     key = F.col("participant_id") if "participant_id" in train.columns else None
     task = hist.Task("risk", boost, _risk_features(train), F.lit(True))
-    return hist.fit(train, [task], F.col(y).cast("int"), [y], F.col(w), key, classes=2).models[0]
+    return hist.fit(train, [task], F.col(y).cast("int"), [y], F.col(w), key, classes=2, whole=hist.WHOLE).models[0]
 
 
 def risk(model: hist.Model, df: DataFrame, name: str = "score") -> DataFrame:
@@ -113,7 +113,8 @@ def out_of_fold_fits(weighted: DataFrame, folds: int = K.FOLDS, seed: int = K.SE
     parts = [folded.filter(F.col("fold") != k) for k in range(folds)]
     if per_fold is None:
         tasks = [hist.Task(f"fold {k}", boost, _risk_features(parts[k]), F.col("fold") != k) for k in range(folds)]
-        found = hist.fit(folded, tasks, F.col(y).cast("int"), folded.columns, F.col(w), F.col("participant_id"), classes=2)
+        found = hist.fit(folded, tasks, F.col(y).cast("int"), folded.columns, F.col(w), F.col("participant_id"), classes=2,
+                         whole=hist.WHOLE)
         return found.scored().withColumn("oof_risk_3y", F.col("probability")[0]).drop("probability", "model"), found.models
 
     def run(k: int) -> tuple[DataFrame, hist.Model]:

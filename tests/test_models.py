@@ -205,6 +205,43 @@ def test_ended_models_leave_the_blocks(spark, monkeypatch):
         assert all(np.allclose(p, direct[i]) for (k, i), p in scored.items() if k == m)
 
 
+def test_a_model_of_few_cells_is_fitted_by_one_task(spark, monkeypatch):
+    """Same losses and scores as level by level, without a job a level; a model of no rows and one of too many cells."""
+    from riskcohort.operators import boosting as hist
+
+    rng = np.random.default_rng(18)
+    a, b, c = np.round(rng.normal(size=900), 1), rng.integers(0, 9, 900).astype(float), rng.integers(0, 3, 900).astype(float)
+    y = np.clip(np.floor(a + (b > 4) / 2 + (c == 1) + rng.normal(size=900) / 2 + 1), 0, 2).astype(int)
+    rows = [(i, float(a[i]), None if i % 31 == 0 else float(b[i]), float(c[i]), None if i % 53 == 0 else int(y[i]), 0.5 + i % 4) for i in range(900)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double, y int, w double").repartition(5)
+    feats = [hist.Feature("a", "numeric", tuple(np.arange(-2, 2, 0.25))), hist.Feature("b", "numeric", (1.5, 4.5, 6.5), 4.0),
+             hist.Feature("b", "missing"), hist.Feature("c", "onehot", (1.0,))]
+    few = [hist.Feature("a", "numeric", (0.0,)), hist.Feature("c", "ordinal", (0.0, 1.0, 2.0))]
+    boost = hist.Boost(rounds=40, rate=0.5, leaves=7, min_leaf=8, l2=0.5, patience=2)
+    tasks = [hist.Task(f"{n} {k}", x, f, F.col("id") % 3 != k) for n, x, f in (
+        ("all", boost, feats), ("few", boost, few), ("on", hist.Boost(rounds=3, leaves=20, min_leaf=8, patience=0), feats)) for k in range(2)]
+    tasks.append(hist.Task("empty", hist.Boost(rounds=2), feats, F.lit(False)))
+    risk = [hist.Task(f"risk {k}", hist.Boost(rounds=20, leaves=6, min_leaf=9, l2=1.0, loss="logistic", monotone=("a",)), feats, F.col("id") % 3 != k)
+            for k in range(3)]
+    jobs, summed = [], hist._summed
+    monkeypatch.setattr(hist, "_summed", lambda *x: jobs.append(1) or summed(*x))
+    for some, label, n in ((tasks, F.col("y"), 3), (risk, (F.col("y") > 0).cast("int"), 2)):
+        by_level = hist.fit(df, some, label, ["id"], F.col("w"), F.col("id"), n)
+        before = len(jobs)
+        alone = hist.fit(df, some, label, ["id"], F.col("w"), F.col("id"), n, whole=hist.WHOLE)
+        assert before > 0 and len(jobs) == before
+        monkeypatch.setattr(hist, "SCORED", 100)
+        for x, z in zip(by_level.models, alone.models):
+            assert x.stopped == z.stopped and len(x.trees) == len(z.trees) and np.allclose(x.first, z.first) and np.allclose(x.losses, z.losses)
+        want = {(r.model, r.id): r.probability for r in by_level.scored().collect()}
+        got = {(r.model, r.id): r.probability for r in alone.scored().collect()}
+        assert set(got) == set(want) and all(np.allclose(got[x], want[x]) for x in want)
+        assert n == 2 or any(m.stopped for m in alone.models)
+        hist.fit(df, some, label, ["id"], F.col("w"), F.col("id"), n, whole=100)
+        assert len(jobs) == 2 * before
+        jobs.clear()
+
+
 def test_unknown_category_codes(people):
     rows = features.numeric_predictors(people)
     unseen = rows.limit(1).withColumn("race_ethnicity", F.lit(5.0))
